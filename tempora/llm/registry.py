@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, packing, pii, quality_rules
+from tempora.llm import decontaminate, language, packing, pii, quality_rules, toxicity, weak_quality
 from tempora.llm import sql as S
 from tempora.llm.common import table
 
@@ -24,6 +24,20 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and verdict for every document."""
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id's remainder is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    net = language.fit(docs, remainder != 1)
+    held_out = F.coalesce(remainder == 1, F.lit(False)).alias("held_out")
+    return language.predict(docs, net).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside any occurrence of a benchmark window."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,8 +79,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_best_fit, op4_decontaminate, op7_personal_data, op9_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op7_personal_data, op9_quality_rules, op10_toxicity,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
