@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, language, packing, pii, quality_rules, toxicity, weak_quality
+from tempora.llm import decontaminate, language, packing, pii, quality_rules, simhash, toxicity, weak_quality
 from tempora.llm import sql as S
 from tempora.llm.common import table
 
@@ -52,6 +52,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def _listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -87,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op7_personal_data, op9_quality_rules, op10_toxicity,
+        op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op5_simhash, op7_personal_data, op9_quality_rules, op10_toxicity,
     )}
 
 
