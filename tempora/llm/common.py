@@ -73,6 +73,7 @@ def materialize(df: DataFrame, hint: str, partition_by: Sequence[str] = ()) -> D
     again in another order, and later stages survive without the earlier ones.
     """
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, hint)
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
@@ -99,6 +100,7 @@ def map_text(
     texts (or None) to one list of values for each field.  A kept column with
     the name of a new field is replaced.  Narrow: no shuffle.
     """
+    ship(df.sparkSession)
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
     position = {c: i for i, c in enumerate(keep)}
@@ -124,6 +126,7 @@ def map_text(
 
 def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], Sequence[bool]]]) -> DataFrame:
     """The rows of ``df`` whose text the predicate keeps, with all columns as they are.  Narrow."""
+    ship(df.sparkSession)
     names = df.columns
     at_text = names.index(text_col)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, language, packing, pii, quality_rules, simhash, toxicity, weak_quality
+from tempora.llm import decontaminate, language, packing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc, weak_quality
 from tempora.llm import sql as S
 from tempora.llm.common import table
 
@@ -58,6 +58,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back in the order of the merged index."""
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def _listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -74,6 +80,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start anywhere else too."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the production policy's verdict for every document."""
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
@@ -93,7 +106,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op5_simhash, op7_personal_data, op9_quality_rules, op10_toxicity,
+        op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op5_simhash, op6_warc, op7_personal_data,
+        op8_suffix_dedup, op9_quality_rules, op10_toxicity,
     )}
 
 

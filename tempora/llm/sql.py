@@ -55,3 +55,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   r0 + r1 > 0 AS base_failed, NOT (r0 + r1 > 0 OR r0 + r1 + r2 + r3 + r4 + r5 + r6 + r7 >= 3) AS kept
 FROM f
 """
+
+# Base 32 of a digest: eight groups of 40 bits, each as eight characters of five bits.
+ORACLES["op6_warc"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, url, strlen(t) AS n, sha1(t) AS x FROM p),
+b AS (
+  SELECT page_id, url, n, x, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(x, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS digest
+  FROM h),
+g AS (SELECT x, min(page_id) AS first_id FROM h GROUP BY 1),
+u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(url, ''), '[\x00-\x20\x7f]+', '%20', 'g')), '#.*$', ''), '^[a-z][a-z0-9+.\-]*://', '') AS bare FROM b),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '^([^/?]*)', 1), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') AS host FROM u)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_replace(bare, '^[^/?]*', '') AS url_key,
+  strftime(make_timestamp(1577836800000000 + 1000000 * (page_id % 1000000000)), '%Y%m%d%H%M%S') AS captured_at
+FROM k JOIN g USING (x)
+"""
