@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions.text import col
+
 
 def preference_rank(c: Column | str, preferred: Sequence[str]) -> Column:
     """Place of a value in a preference list; values outside it come last."""
-    found = F.array_position(F.array(*[F.lit(p) for p in preferred]), c).cast("int") if preferred else F.lit(0)
+    found = F.array_position(F.array(*[F.lit(p) for p in preferred]), col(c)).cast("int") if preferred else F.lit(0)
     return F.when(F.coalesce(found, F.lit(0)) > 0, found - 1).otherwise(len(preferred))
 
 

@@ -50,7 +50,8 @@ def speech_at_coordinate(spark, sf_dir):
 
 def coordinate_at_measure(spark, sf_dir):
     points = event_spans(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", (F.col("event_id") * MINUTE_US).alias("amount"))
-    return intervals.coordinate_at(points, _islands(spark, sf_dir), USER)
+    found = intervals.coordinate_at(points, _islands(spark, sf_dir), USER)
+    return found.withColumn("coordinate", F.coalesce("coordinate", F.lit(-1).cast("long")))
 
 
 def hard_boundary_flag(spark, sf_dir):

@@ -93,7 +93,7 @@ SELECT a.user_id, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM a JOIN b ON
     "speech_at_coordinate": f"""{_BASE} SELECT p.event_id, p.user_id, p.s AS x, CAST(coalesce(sum(greatest(0, least(i.e, p.s) - i.s)), 0) AS BIGINT) AS covered
 FROM spans p LEFT JOIN islands i ON i.user_id = p.user_id WHERE p.event_type = 'error' GROUP BY ALL""",
     "coordinate_at_measure": f"""{_BASE}, {_PREFIX}, p AS (SELECT event_id, user_id, event_id * 60000000 AS amount FROM events WHERE event_type = 'signup')
-SELECT p.event_id, p.user_id, p.amount, CASE WHEN amount <= 0 THEN 0 ELSE i.s + amount - i.before END AS coordinate
+SELECT p.event_id, p.user_id, p.amount, CASE WHEN amount <= 0 THEN 0 ELSE coalesce(i.s + amount - i.before, -1) END AS coordinate
 FROM p LEFT JOIN prefixed i ON i.user_id = p.user_id AND i.before < amount AND amount <= i.before + i.e - i.s""",
     "hard_boundary_flag": f"""{_BASE} SELECT p.event_id, p.user_id, p.s AS x, EXISTS (SELECT 1 FROM islands i WHERE i.user_id = p.user_id AND i.s < p.s AND p.s < i.e) AS hard
 FROM spans p WHERE p.event_type = 'purchase'""",
