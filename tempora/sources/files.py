@@ -18,7 +18,7 @@ TEMPORARY = (".part", ".ytdl", ".tmp")
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, name, bytes and modified time of files, without their contents."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.select("path", F.try_element_at(F.split("path", "/"), F.lit(-1)).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def media(files: DataFrame) -> DataFrame:

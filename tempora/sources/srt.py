@@ -30,8 +30,8 @@ def parse(files: DataFrame, keys: Sequence[str] = ("path",), content: str = "con
     blocks = files.select(*keys, F.posexplode(F.split(text, r"\n\n+")).alias("block", "raw"))
     lines = F.filter(F.transform(F.split("raw", r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: F.trim(x) != "")
     cues = blocks.select(*keys, "block", lines.alias("lines")).where(F.size("lines") >= 2)
-    skip = F.when(F.element_at("lines", 1).rlike(r"^\d+$") & (F.size("lines") >= 3), 1).otherwise(0)
-    cues = cues.withColumn("skip", skip).withColumn("time", F.trim(F.element_at("lines", F.col("skip") + 1)))
+    skip = F.when(F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).rlike(r"^\d+$") & (F.size("lines") >= 3), 1).otherwise(0)
+    cues = cues.withColumn("skip", skip).withColumn("time", F.trim(F.try_element_at("lines", F.col("skip") + 1)))
     times = rf"^({SRT_TIME})\s*-->\s*({SRT_TIME})$"
     cues = cues.where(F.col("time").rlike(times)).select(
         *keys,
