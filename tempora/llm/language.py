@@ -38,6 +38,8 @@ WIDTHS = (2, 3, 4)
 MAX_LANGUAGES = 256
 WINDOWS_PER_TEXT = 8
 UNDETERMINED = "und"
+#: A small sample is gone through more often, up to so many steps.
+LEAST_STEPS = 250
 #: Windows scored at once; their responses stay within the processor's cache.
 BATCH_WINDOWS = 96
 _HASH_RANGE = 1 << 30
@@ -120,6 +122,7 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: Sequence[str], *, epo
     weights = [*net.filters.values(), net.bias, net.out, net.out_bias]
     first_moment, second_moment = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(rows)))
     filter_number = np.arange(FILTERS)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -158,10 +161,8 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    if not languages:
+    if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
-    number = {lang: i for i, lang in enumerate(languages)}
     limits = [(r["lang"], int(_HASH_RANGE * min(1.0, per_language / r["n"]))) for r in counts]
     limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, upto long"))  # at most MAX_LANGUAGES rows
     sample = rows.join(limit, "lang").where(F.pmod(F.xxhash64("id"), F.lit(_HASH_RANGE)) < F.col("upto")).select("lang", "text")
@@ -180,6 +181,8 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
 
     got = sample.mapInArrow(run, "lang string, window binary").toArrow()
     names, cuts = got.column(0).to_pylist(), got.column(1).to_pylist()
+    languages = sorted(set(names))  # a language without letters in its texts is not learned
+    number = {lang: i for i, lang in enumerate(languages)}
     order = sorted(range(len(cuts)), key=lambda i: (names[i], cuts[i]))  # the same network however the rows arrive
     labels = np.array([number[names[i]] for i in order], np.int64)
     windows = np.frombuffer(b"".join([cuts[i] for i in order]), np.uint8).reshape(-1, WINDOW)

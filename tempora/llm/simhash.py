@@ -339,21 +339,21 @@ def link_fingerprints(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id (smallest id reachable over links)."""
+    """One row per document: id, fp (signed long), label (a fingerprint that names the component), component_id (smallest id reachable over links)."""
     rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "nodes")
     labels = link_fingerprints(nodes.select("fp"), radius)
     rooted = materialize(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "rooted")
     smallest = materialize(rooted.groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
-    named = materialize(rooted.join(smallest, "label").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    named = materialize(rooted.join(smallest, "label").select("fp", "label", "component_id"), "named")
+    return rows.join(named, "fp").select(id_col, "fp", "label", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Rows that repeat that id and are in the component count as one document;
-    rows without an id stay.
+    Of rows that repeat that id within the component one stays; rows without
+    an id stay.
     """
     found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), "found")
     per_id = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
@@ -365,4 +365,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         return kept
     once = kept.join(_listed(repeated), kept[id_col] == F.col("__id"), "left_anti")
     many = kept.join(_listed(repeated), kept[id_col] == F.col("__id"), "left_semi")
-    return once.unionByName(many.dropDuplicates([id_col]))
+
+    def make():
+        return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+
+    # Rows of one id may have different texts, so each is judged by its own fingerprint.
+    many = map_text(many, text_col, make, [field("__fp", T.LongType())], docs.columns)
+    own = found.select(F.col(id_col).alias("__id"), F.col("fp").alias("__f"), "label", "component_id").where("component_id = __id").select("__id", "__f", F.col("label").alias("__c")).distinct()
+    many = many.join(own, (many[id_col] == own["__id"]) & (many["__fp"] == own["__f"])).dropDuplicates([id_col, "__c"])
+    return once.unionByName(many.select(*docs.columns))

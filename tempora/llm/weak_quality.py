@@ -134,7 +134,7 @@ class LabelModel:
 #: Before any data: how often a labeller objects to a bad and to a good document,
 #: and the weight of that belief as a share of the votes it casts.
 PRIOR_OBJECTS = (0.2, 0.002)
-PRIOR_WEIGHT = 1.0
+PRIOR_WEIGHT = 0.05
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) -> LabelModel:
