@@ -144,9 +144,10 @@ def same_identity(df: DataFrame, other: DataFrame, key: str, fields: Sequence[st
     return joined.withColumn("violation", first_broken(*rules)).select(*df.columns, "violation")
 
 
-def summary_job(df: DataFrame) -> DataFrame:
+def summary_job(df: DataFrame, from_subtitle: str = "subtitle", from_audio: str = "audio") -> DataFrame:
     """The nullability matrix of a summary job by status.
 
+    ``from_subtitle`` and ``from_audio`` are the values of transcript_source.
     Columns: status, bvid, title, url, fetch_manifest, subtitle, audio,
     subtitle_skipped, transcript_source, transcript_path,
     transcription_manifest, prompt_path, summary_path, error_stage,
@@ -156,7 +157,7 @@ def summary_job(df: DataFrame) -> DataFrame:
     produced = has("transcript_source", "transcript_path", "transcription_manifest", "prompt_path", "summary_path")
     error = has("error_stage", "error_type", "error_message")
     early, ready = F.col("status").isin("preparing", "needs_transcription"), F.col("status").isin("prompt_ready", "complete")
-    subtitle, audio = F.col("transcript_source") == "bilibili_subtitle", F.col("transcript_source") == "audio_transcribe"
+    subtitle, audio = F.col("transcript_source") == from_subtitle, F.col("transcript_source") == from_audio
     absolute = lambda c: F.coalesce(F.col(c).startswith("/"), F.lit(False))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return df.withColumn("violation", first_broken(

@@ -69,7 +69,7 @@ def test_manifest(spark, change, want):
 
 
 SUMMARY = "status string, bvid string, title string, url string, fetch_manifest string, subtitle string, audio string, subtitle_skipped boolean, transcript_source string, transcript_path string, transcription_manifest string, prompt_path string, summary_path string, error_stage string, error_type string, error_message string"
-READY = {"status": "prompt_ready", "bvid": "b", "title": "t", "url": "u", "fetch_manifest": "r/f.json", "subtitle": None, "audio": None, "subtitle_skipped": False, "transcript_source": "bilibili_subtitle",
+READY = {"status": "prompt_ready", "bvid": "b", "title": "t", "url": "u", "fetch_manifest": "r/f.json", "subtitle": None, "audio": None, "subtitle_skipped": False, "transcript_source": "subtitle",
          "transcript_path": "t.json", "transcription_manifest": None, "prompt_path": "p.md", "summary_path": "s.md", "error_stage": None, "error_type": None, "error_message": None}
 EARLY = {**READY, "status": "preparing", "transcript_source": None, "transcript_path": None, "prompt_path": None, "summary_path": None}
 
@@ -77,7 +77,7 @@ EARLY = {**READY, "status": "preparing", "transcript_source": None, "transcript_
 @pytest.mark.parametrize(("base", "change", "want"), [
     (READY, {}, None), (EARLY, {}, None), (READY, {"status": "done"}, "status"), (READY, {"title": ""}, "video"), (EARLY, {"status": "needs_transcription"}, "audio_missing"),
     (EARLY, {"status": "needs_transcription", "audio": "a.m4a"}, None), (EARLY, {"prompt_path": "p"}, "early_job_has_results"), (READY, {"transcription_manifest": "/m"}, "unexpected_manifest"),
-    (READY, {"transcript_source": "audio_transcribe"}, "path_not_absolute"), (READY, {"prompt_path": "/abs"}, "prompt"), (READY, {"error_stage": "x"}, "ready_job_has_error"),
+    (READY, {"transcript_source": "audio"}, "path_not_absolute"), (READY, {"prompt_path": "/abs"}, "prompt"), (READY, {"error_stage": "x"}, "ready_job_has_error"),
     (EARLY, {"status": "failed"}, "error_shape"), (EARLY, {"status": "failed", "error_stage": "a", "error_type": "b", "error_message": "c"}, None), (READY, {"transcript_source": None}, "transcript_source"),
 ])
 def test_summary_job(spark, base, change, want):
