@@ -16,8 +16,11 @@ bytes that all contexts of an anchor share around it are one symbol.  A string
 is repeated where a suffix shares 400 bytes with a neighbour in the order.
 
 An anchor with more than ``GROUP_ROWS`` distinct contexts (a passage quoted
-everywhere) is split into its single 400-byte strings, each of which goes to
-the group of its own hash, summed before it is shuffled.
+everywhere) is split: the strings of a context that start in the same slot
+before the anchor become a context of their own, whose anchor is all that these
+strings have in common.  Strings that differ there part; what stays together is
+split again into narrower slots, at last into single strings, of which equal
+ones are one row.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing;
 matches never cross documents; repeated rows are copies of each other, so all
@@ -36,17 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import materialize, stored_bytes
+from tempora.llm.common import materialize
 
 LENGTH = 400
 #: Bytes of an anchor for strings of 400 bytes; in proportion for others.
 ANCHOR = 240
-#: Distinct contexts of one anchor from which it is split into single strings.
+#: Distinct contexts of one anchor beyond which it is split, and into how many slots at a time.
 GROUP_ROWS = 256
+SLOTS = 4
+#: Distinct contexts for each task that puts them in order.
+TASK_ROWS = 3000
 #: Contexts, and anchors, in one collection.
 COLLECTION_ROWS, COLLECTION_GROUPS = 1024, 200
-#: Tables below this size are broadcast, larger ones joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
 #: Bytes of a sequential file that stay in memory.
 SPOOL_BYTES = 16 << 20
 _PART = 1 << 17
@@ -131,12 +135,6 @@ def contexts(data: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _windows_of(data: bytes, length: int) -> np.ndarray:
-    """Hashes (n, 2) of all strings of ``length`` bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    return np.stack([h.rolling(h.sums(raw), length).view(np.int64) for h in _hash_pair()], 1)
-
-
 class Sequential:
     """A column of the collection as a file that is read whole and written anew each round."""
 
@@ -346,10 +344,6 @@ def _resolve(length: int, anchor: int):
     return run
 
 
-def _listed(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents with a 128-bit key of id and text; rows with the same key are copies of each other."""
     text, key = F.col(text_col), F.col(id_col)
@@ -374,7 +368,7 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = per_doc.select("k1", "k2", F.inline(F.arrays_zip("first", "last", "anchor", "context")))
     several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("n > 1")
     several = materialize(several.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "anchors")
-    rows = materialize(rows.join(_listed(several), "anchor"), "instances")
+    rows = materialize(rows.join(several, "anchor"), "instances")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("last") - F.col("first")).cast("int").alias("last"))).cast(_RUNS)
     settled = rows.where("NOT mixed").select("k1", "k2", "first", whole.alias("runs"))
     mixed = rows.where("mixed")
@@ -386,35 +380,28 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     distinct = mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(pick).alias("at"))
     wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "at.first", "at.last").alias("c"))
     wanted = materialize(wanted.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs")), "wanted")
-    # A document that is there more than once gives its contexts once.
-    source = keyed.select("k1", "k2", "data").join(_listed(wanted), ["k1", "k2"])
+    source = keyed.select("k1", "k2", "data").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    # A document that is there more than once gives its contexts as often; one of each stays.
     cut = F.explode(F.transform("cs", lambda c: F.struct(
         c["anchor"].alias("anchor"), c["context"].alias("context"), c["n"].alias("n"),
         F.substring(F.col("data"), (c["first"] + 1).cast("int"), (c["last"] - c["first"] + length).cast("int")).alias("data"),
     )))
-    texts = materialize(source.select(cut.alias("c")).select("c.*"), "texts")
-    texts = materialize(texts.groupBy("anchor", "context").agg(F.first("n").alias("n"), F.first("data").alias("data")), "distinct")
-    # The anchor's place: the same search as above, on the context alone.
-    per_anchor = materialize(texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > GROUP_ROWS).select("anchor"), "hot")
-    cold, results = texts, None
-    if not per_anchor.isEmpty():
-        cold = texts.join(_listed(per_anchor), "anchor", "left_anti")
-        results = _by_single_strings(texts.join(_listed(per_anchor), "anchor", "left_semi"), length)
-    placed = cold.repartition("anchor").sortWithinPartitions("anchor", "context")
+    texts = source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(F.first("n").alias("n"), F.first("data").alias("data"))
 
     def with_place(batches):
         for batch in batches:
             places = [anchor_place(d, length, anchor) for d in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.int32()), batch.column(3)], names=["anchor", "context", "n", "place", "data"])
 
-    resolve = _resolve(length, anchor)
-    found = placed.select("anchor", "context", "n", "data").mapInArrow(lambda b: resolve(with_place(b)), f"anchor bigint, context bigint, runs {_RUNS}")
-    results = found if results is None else found.unionByName(results)
-    results = materialize(results.where(F.size("runs") > 0), "resolved")
-    more = mixed.join(_listed(results), ["anchor", "context"]).select("k1", "k2", "first", "runs")
+    texts = texts.select("anchor", "context", "n", "data").mapInArrow(with_place, _CONTEXT)
+    results = materialize(_repeats_in(materialize(texts, "texts"), length, anchor, length - anchor + 1), "resolved")
+    more = mixed.join(results, ["anchor", "context"]).select("k1", "k2", "first", "runs")
     return settled.unionByName(more)
 
 
+_CONTEXT = "anchor bigint, context bigint, n bigint, place int, data binary"
+
+
 def anchor_place(data: bytes, length: int, anchor: int) -> int:
     """Where the anchor of a context's strings begins."""
     first = _hash_pair()[0]
@@ -423,25 +410,65 @@ def anchor_place(data: bytes, length: int, anchor: int) -> int:
     return int(np.argmin((hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)))
 
 
-def _by_single_strings(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, runs) for anchors with many contexts, from counts of their single strings."""
+def _repeats_in(texts: DataFrame, length: int, anchor: int, starts: int) -> DataFrame:
+    """(anchor, context, runs) of distinct contexts (anchor, context, n, place, data) with repeated strings.
 
-    def explode(batches):
+    ``anchor`` bytes at ``place`` are the same in all contexts of an anchor,
+    and each context has at most ``starts`` strings.
+    """
+    per_anchor = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
+    per_anchor = materialize(per_anchor.where("rows > 1 OR most > 1"), "groups")
+    alone = per_anchor.where("rows = 1").select("anchor")
+    every = F.array(F.struct(F.lit(0).alias("first"), (F.octet_length("data") - length).alias("last"))).cast(_RUNS)
+    out = texts.where("n > 1").join(alone, "anchor", "left_semi").select("anchor", "context", every.alias("runs"))
+    few = texts.join(per_anchor.where(F.col("rows").between(2, GROUP_ROWS)).select("anchor"), "anchor", "left_semi")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_ROWS))
+    few = few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context").select("anchor", "context", "n", "place", "data")
+    found = few.mapInArrow(_resolve(length, anchor), f"anchor bigint, context bigint, runs {_RUNS}")
+    out = out.unionByName(found.where(F.size("runs") > 0))
+    many = per_anchor.where(F.col("rows") > GROUP_ROWS).select("anchor")
+    if many.isEmpty():
+        return out
+    step = -(-starts // SLOTS)
+    hot = texts.join(many, "anchor", "left_semi").select("anchor", "context", "n", "place", "data")
+    parts = materialize(hot.mapInArrow(_slots(length, step), f"{_CONTEXT}, parent_anchor bigint, parent_context bigint, start int"), "slots")
+    narrow = parts.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("data").alias("data"))
+    below = materialize(_repeats_in(materialize(narrow, "narrow"), length, length - step + 1, step), "below")
+    back = parts.select("anchor", "context", "parent_anchor", "parent_context", "start").join(below, ["anchor", "context"])
+    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
+    whole = back.select("parent_anchor", "parent_context", moved.cast(_RUNS).alias("runs")).groupBy("parent_anchor", "parent_context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return out.unionByName(whole.select(F.col("parent_anchor").alias("anchor"), F.col("parent_context").alias("context"), "runs"))
+
+
+def _slots(length: int, step: int):
+    """Contexts cut by the slot in which their strings start, counted back from the anchor.
+
+    All strings of a slot hold the same ``length - step + 1`` bytes, which are
+    the anchor of the new context.
+    """
+
+    def run(batches):
+        second = _hash_pair()[1]
+        names = [part.split()[0] for part in f"{_CONTEXT}, parent_anchor bigint, parent_context bigint, start int".split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                hashes = [_windows_of(d, length) for d in part.column(3).to_pylist()]
-                times = np.array([len(h) for h in hashes])
-                rows = pa.array(np.repeat(np.arange(part.num_rows), times))
-                both = np.concatenate(hashes)
-                start = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), pa.array(start), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["anchor", "context", "n", "start", "h1", "h2"])
+            out = []
+            for anchor, context, n, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums = second.sums(np.frombuffer(data, np.uint8))
+                last = len(data) - length
+                slots = sorted({(place - s) // step for s in range(last + 1)})
+                for slot in slots:
+                    a, b = max(0, place - (slot + 1) * step + 1), min(last, place - slot * step)
+                    core = place - slot * step
+                    begin, end = np.array([core, a]), np.array([core + length - step + 1, b + length])
+                    common, whole = second.of(sums, begin, end)
+                    salt = np.array([slot + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    key = _mix((salt ^ common) + np.array([anchor]).view(np.uint64))
+                    out.append((int(key.view(np.int64)[0]), int(whole.view(np.int64)), n, core - a, data[a : b + length], anchor, context, a))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    singles = texts.select("anchor", "context", "n", "data").mapInArrow(explode, "anchor bigint, context bigint, n bigint, start int, h1 bigint, h2 bigint")
-    singles = materialize(singles, "singles")
-    twice = materialize(singles.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2"), "twice")
-    found = singles.join(_listed(twice), ["h1", "h2"]).groupBy("anchor", "context").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    return found.select("anchor", "context", F.transform("starts", lambda s: F.struct(s.alias("first"), s.alias("last"))).cast(_RUNS).alias("runs"))
+    return run
 
 
 def _covered(runs: Sequence[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -469,7 +496,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     absolute = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("a"), (F.col("first") + r["last"]).alias("b")))
     per_doc = runs.select("k1", "k2", F.explode(absolute).alias("r")).groupBy("k1", "k2").agg(F.collect_set("r").alias("rs"))
     per_doc = materialize(per_doc, "removed")
-    joined = keyed.join(_listed(per_doc), ["k1", "k2"], "left").select("id", "data", "rs")
+    joined = keyed.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "data", "rs")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
