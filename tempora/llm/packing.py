@@ -32,8 +32,8 @@ from tempora.llm.common import materialize, stored_bytes
 #: Words kept in a worker's cache, and the longest word (bytes) that enters it.
 CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 40
-#: Rank offsets are broadcast below this size, joined by a shuffle above it.
-BROADCAST_BYTES = 8 << 20
+#: Rank offsets are broadcast below this size (compressed; some thirty times that in memory), joined by a shuffle above it.
+BROADCAST_BYTES = 1 << 20
 PIECES_PER_BATCH = 512
 
 _encoders: dict[str, WordEncoder] = {}

@@ -43,8 +43,8 @@ BUCKET_ROWS = 1024
 #: Blocks of bits -> distinct fingerprints up to which they are used.
 BLOCKS_UP_TO = ((5, 500_000), (6, 100_000_000), (7, 6_000_000_000))
 MOST_BLOCKS = 8
-#: Lists below this size are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Lists below this stored size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 2 << 20
 _CELLS = 8192
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 

@@ -43,7 +43,7 @@ from tempora.llm.common import materialize, new_path, stored_bytes
 FAN_IN = 128
 RANGE_CAPTURES = 10_000
 SAMPLES = 64
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 2 << 20
 READ_AHEAD = 1 << 20
 EPOCH = 1_577_836_800
 _URN = "urn:tempora:page:"

@@ -117,3 +117,15 @@ def test_query_digests(spark, documents, folder):
 def test_tiny_capacity(documents, capacity):
     out = packing.pack_best_fit(documents([(1, "the cat sat")]), registry.tokenizer_path(), capacity=capacity).collect()
     assert sum(r.length for r in out) == 4 and max(r.length for r in out) <= capacity
+
+
+def test_shuffled_ranks_give_the_same_packing(documents, monkeypatch):
+    rows = [(i, "the " * (i % 17)) for i in range(120)]
+    pack = lambda: sorted(tuple(r)[:4] + tuple(r)[5:] for r in packing.pack_best_fit(documents(rows).repartition(5), registry.tokenizer_path(), capacity=16).collect())
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", -1)
+    out = pack()
+    bins = defaultdict(int)
+    for *_, length, sequence, _ in out:
+        bins[sequence] += length
+    assert len(out) >= 120 and max(bins.values()) <= 16
+    assert len(bins) == sequential_best_fit([r[3] for r in out], 16)
