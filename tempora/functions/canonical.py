@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,11 @@ def pretty_text(value) -> str:
     return json.dumps(value, ensure_ascii=False, allow_nan=False, indent=2) + "\n"
 
 
-def parse_strict(raw: str | bytes):
-    """A JSON object without duplicate keys, NaN, infinities or trailing text; ValueError otherwise."""
+def parse_strict(raw: str | bytes, *, decimals: bool = False):
+    """A JSON object without duplicate keys, NaN, infinities or trailing text; ValueError otherwise.
+
+    With ``decimals`` numbers with a fraction become decimals, digit by digit.
+    """
 
     def no_duplicates(pairs):
         out = {}
@@ -60,7 +64,7 @@ def parse_strict(raw: str | bytes):
         value = float(text)
         if not math.isfinite(value):
             raise ValueError("number out of range")
-        return value
+        return Decimal(text) if decimals else value
 
     text = raw.decode("utf-8") if isinstance(raw, bytes) else raw
     out = json.loads(text, object_pairs_hook=no_duplicates, parse_constant=no_constant, parse_float=finite)

@@ -10,6 +10,18 @@ from tempora.functions.text import col
 SRT_TIME = r"\d{2}:\d{2}:\d{2},\d{3}"
 
 
+SAMPLE_RATE = 16_000
+
+
+def to_seconds(samples: Column | str, rate: int = SAMPLE_RATE) -> Column:
+    return col(samples) / rate
+
+
+def to_samples(seconds: Column | str, rate: int = SAMPLE_RATE) -> Column:
+    """The nearest sample."""
+    return F.round(col(seconds).cast("double") * rate).cast("long")
+
+
 def parse_srt_millis(c: Column | str) -> Column:
     """Milliseconds of ``hh:mm:ss,mmm``; null for anything else, hours of three digits included."""
     x = col(c)

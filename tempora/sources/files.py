@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.canonical import strict_json
-from tempora.functions.text import subtitle_language
+from tempora.functions.text import chunk_key, subtitle_language
 from tempora.operators.contracts import first_broken
 from tempora.operators.ranking import first_by, preference_rank
 
@@ -81,6 +81,12 @@ def matching_plan(wanted: DataFrame, cached: DataFrame, key: str, identity: Sequ
     return wanted.select(key, *identity).join(cached, [key, *identity])
 
 
+def chunk_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON results of chunks (with ``index``) whose file is named by their chunk, ``chunk_<index>.json``."""
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("__name"))
+    return rows.where(F.col("__name") == F.concat(chunk_key("index"), F.lit(".json"))).drop("__name")
+
+
 def with_optional(rows: DataFrame, side: DataFrame, key: str, defaults: dict) -> DataFrame:
     """Rows with the fields of a side table, or their defaults."""
     out = rows.join(side, key, "left")

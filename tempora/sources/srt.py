@@ -99,3 +99,14 @@ def render_markdown(segments: DataFrame, keys: Sequence[str], metadata: dict[str
     head = [F.concat(F.lit(f"{name}: "), safe_line(F.coalesce(value.cast("string"), F.lit("")))) for name, value in metadata.items()]
     content = F.concat(F.lit("## metadata\n\n"), F.array_join(F.array(*head), "\n"), F.lit("\n\n## transcript text\n\n"), F.col("__body"), F.lit("\n"))
     return body.select(*keys, content.alias("content"))
+
+
+def to_markdown(files: DataFrame, keys: Sequence[str], metadata: dict[str, Column], content: str = "content") -> DataFrame:
+    """Subtitle files as Markdown transcripts: parsed, merged into paragraphs, rendered."""
+    from tempora.operators.segments import merge_paragraphs
+
+    cues = parse(files, keys, content).select(*keys, "id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "start", "end", "text"))), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text")))
+    merged = cues.groupBy(*keys).agg(ordered.alias("segments"))
+    paragraphs = merged.select(*keys, F.posexplode(merge_paragraphs(F.col("segments"))).alias("id", "p")).select(*keys, "id", "p.*")
+    return render_markdown(paragraphs, keys, metadata)

@@ -224,3 +224,16 @@ def test_optional_side_and_plans(spark):
     wanted = spark.createDataFrame([(1, "v"), (2, "v")], "k int, id string")
     assert files.matching_plan(wanted, cached, "k", ["id"]).count() == 1
     assert json.loads(cached.toJSON().first())["plan"] == "plan"
+
+
+def test_chunk_results_need_their_own_name(spark, tmp_path):
+    (tmp_path / "chunk_001.json").write_text('{"index": 1, "text": "a"}')
+    (tmp_path / "chunk_002.json").write_text('{"index": 7, "text": "b"}')
+    got = files.chunk_results(spark, f"file://{tmp_path}/chunk_*.json", "index int, text string").collect()
+    assert [tuple(r) for r in got] == [(1, "a")]
+
+
+def test_subtitles_to_markdown(spark):
+    df = texts(spark, "00:00:01,000 --> 00:00:02,000\nHi\n\n00:00:02,000 --> 00:00:03,000\nthere.\n\n00:00:09,000 --> 00:00:10,000\nEnd")
+    out = srt.to_markdown(df, ["path"], {"title": F.col("path")}).first().content
+    assert out.endswith("[00:00:01 - 00:00:03] Hi there.\n[00:00:09 - 00:00:10] End\n") and "title: 0.srt" in out

@@ -99,3 +99,10 @@ def test_strict_json(spark, raw, ok):
 @pytest.mark.parametrize(("path", "ok"), [("a/b.json", True), ("./a", True), ("../a", False), ("a/../../b", False), ("/a", False), ("C:\\a", False), ("", False), ("a/..", False)])
 def test_contained_paths(spark, path, ok):
     assert one(spark, path, canonical.contained_path) is ok
+
+
+def test_decimals_and_samples(spark):
+    from decimal import Decimal
+
+    assert canonical.parse_strict('{"a": 1.10}', decimals=True)["a"] == Decimal("1.10")
+    assert spark.range(1).select(timecode.to_seconds(F.lit(24000)), timecode.to_samples(F.lit(1.5))).first()[:] == (1.5, 24000)
