@@ -20,6 +20,7 @@ CHUNK_ROWS = 256
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, hint: str) -> str:
-    return f"{shared_dir(spark)}/tempora-{hint}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, remembered for :func:`cleanup`."""
+    path = f"{shared_dir(spark)}/tempora-{hint}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables and archives; results that still read them must be stored first."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, hint: str, partition_by: Sequence[str] = ()) -> DataFrame:
