@@ -156,11 +156,27 @@ def latest_coordinate_at(points: DataFrame, islands: DataFrame, keys: Keys, end,
     return found.select(*points.columns, value.alias(name))
 
 
-def sessions(df: DataFrame, keys: Keys, max_gap: int) -> DataFrame:
-    """Rows with ``session``, a number that rises where a row starts more than ``max_gap`` after the one before ended."""
-    order = Window.partitionBy(*keys).orderBy("s", "e")
-    new = F.when(F.col("s") - F.lag("e").over(order) > max_gap, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def sessions(df: DataFrame, keys: Keys, max_gap: int, *, bucket: int | None = None) -> DataFrame:
+    """Rows with ``session``, a number that rises where a row starts more than ``max_gap`` after the one before ended.
+
+    With ``bucket``, rows are ordered within buckets of the axis, and only one
+    row per bucket is ordered per key, so a key of any size is dealt over many
+    tasks; keys must then not be null.
+    """
+    new = lambda e: F.when(F.col("s") - e > max_gap, 1).otherwise(0)
+    running = lambda w: F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if bucket is None:
+        order = Window.partitionBy(*keys).orderBy("s", "e")
+        return df.withColumn("__new", new(F.lag("e").over(order))).withColumn("session", running(order)).drop("__new")
+    cell = [*keys, "__b"]
+    order = Window.partitionBy(*cell).orderBy("s", "e")
+    marked = df.withColumn("__b", F.floor(F.col("s") / bucket)).withColumn("__new", new(F.lag("e").over(order))).withColumn("__seen", running(order))
+    cells = marked.groupBy(*cell).agg(F.min("s").alias("s"), F.max_by("e", F.struct("s", "e")).alias("__e"), F.sum("__new").alias("__n"))
+    by_key = Window.partitionBy(*keys).orderBy("__b")
+    cells = cells.withColumn("__first", new(F.lag("__e").over(by_key)))
+    earlier = F.sum(F.col("__n") + F.col("__first")).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*cell, (F.coalesce(earlier, F.lit(0)) + F.col("__first")).alias("__before"))
+    return marked.join(cells, cell).withColumn("session", F.col("__seen") + F.col("__before")).select(*df.columns, "session")
 
 
 def structure_violation(df: DataFrame, keys: Keys, length) -> DataFrame:

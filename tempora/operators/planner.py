@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tempora.operators.intervals import normalize, union
+
 _FAR = np.int64(1) << np.int64(60)
 
 
@@ -183,8 +185,14 @@ LAYOUT = "idx int, s bigint, e bigint, boundary string, speech bigint, error str
 def plan_recordings(intervals: DataFrame, keys: Sequence[str], length: str, *, shortest: int, longest: int, group: int = 4, strategy: str = "full", count: int | None = None) -> DataFrame:
     """The layout of each key's recording, from its intervals (s, e) and its ``length`` column.
 
-    A recording that cannot be split gives one row with ``error`` and nothing else.
+    Intervals are merged before they are grouped, so a group holds at most half
+    as many rows as the recording has units, however many intervals it came
+    with.  A recording that cannot be split gives one row with ``error`` and
+    nothing else.
     """
+    whole = [*keys, length]
+    merged = union(normalize(intervals.select(*whole, "s", "e")), whole, bucket=longest)
+    intervals = intervals.select(*whole).distinct().join(merged, whole, "left")
     kinds = ", ".join(f"`{k}` {intervals.schema[k].dataType.simpleString()}" for k in keys)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -63,7 +63,7 @@ def first_n_seconds(spark, sf_dir):
 
 
 def gap_sessions(spark, sf_dir):
-    rows = intervals.sessions(event_spans(spark, sf_dir), USER, 60 * MINUTE_US)
+    rows = intervals.sessions(event_spans(spark, sf_dir), USER, 60 * MINUTE_US, bucket=DAY_US)
     return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
 
 

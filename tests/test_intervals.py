@@ -94,6 +94,13 @@ def test_sessions_split_above_the_gap(spark):
     assert [r.session for r in rows] == [0, 0, 1]
 
 
+def test_sessions_by_bucket_are_the_same(spark):
+    df = frame(spark, some(6, 300))
+    plain = sorted(tuple(r) for r in I.sessions(df, KEYS, 3).collect())
+    for bucket in (7, 50, 1000):
+        assert sorted(tuple(r) for r in I.sessions(df, KEYS, 3, bucket=bucket).collect()) == plain
+
+
 def test_structure_violations(spark):
     rows = [("adjacent", 0, 0, 2), ("adjacent", 1, 2, 4), ("negative", 0, -1, 2), ("empty", 0, 2, 2), ("past_end", 0, 2, 5), ("overlap", 0, 0, 3), ("overlap", 1, 2, 4), ("missing", 0, None, 2)]
     df = spark.createDataFrame(rows, "k string, pos int, s long, e long")
