@@ -33,14 +33,15 @@ MIN_SCORE = 0.6
 CONTEXT_CHARS = 40
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.3, "local_phone": 0.2}
 CHECKSUM_GAIN, CONTEXT_GAIN = 0.4, 0.4
+_PHONE_WORDS = r"\b(?:phone|tel|call|mobile|fax|telephone|telefon|movil)\b"
 CONTEXT = {
-    "email": re.compile(r"\b(?:e-?mail|contact|mailto|write)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|address|host|server|addr)\b", re.I),
-    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment)\b", re.I),
-    "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax|telephone|telefon|móvil)\b", re.I),
-    "iban": re.compile(r"\b(?:iban|bank|account|konto|compte|cuenta|transfer)\b", re.I),
-    "ssn": re.compile(r"\b(?:ssn|social security|social insurance)\b", re.I),
-    "local_phone": re.compile(r"\b(?:phone|tel|call|mobile|fax|telephone|telefon|móvil)\b", re.I),
+    "email": re.compile(r"\b(?:e-?mail|contact|mailto|write)\b", re.I | re.A),
+    "ip": re.compile(r"\b(?:ip|address|host|server|addr)\b", re.I | re.A),
+    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment)\b", re.I | re.A),
+    "phone": re.compile(_PHONE_WORDS, re.I | re.A),
+    "iban": re.compile(r"\b(?:iban|bank|account|konto|compte|cuenta|transfer)\b", re.I | re.A),
+    "ssn": re.compile(r"\b(?:ssn|social security|social insurance)\b", re.I | re.A),
+    "local_phone": re.compile(_PHONE_WORDS, re.I | re.A),
 }
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,9 +51,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", re.A)
+# Whole runs of the characters are taken, and then must have the form.
+_SSN_RUN = re.compile(r"[0-9-]+")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_LOCAL_PHONE_RUN = re.compile(r"[0-9().\x20-]+")
+_LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}")
 _DIGIT = re.compile(r"[0-9]")
 _SEPARATORS = str.maketrans("", "", " -().+")
 
@@ -114,6 +118,10 @@ def _order(span: tuple) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
 
+def _valid_ssn(run: str) -> bool:
+    return bool(_SSN.fullmatch(run)) and run[:3] not in ("000", "666") and run[0] != "9" and run[4:6] != "00" and run[7:] != "0000"
+
+
 def score(text: str, start: int, end: int, kind: str, confirmed: bool) -> float:
     """Prior of the kind, raised by a passed checksum and by context words nearby; at most 1."""
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
@@ -133,8 +141,13 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     if _DIGIT.search(text):
         added = [(m.start(), m.end(), "iban", True) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", ""))]
         if "-" in text:
-            added += [(m.start(), m.end(), "ssn", False) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
-        added += [(m.start(), m.end(), "local_phone", False) for m in _LOCAL_PHONE.finditer(text)]
+            added += [(m.start(), m.end(), "ssn", False) for m in _SSN_RUN.finditer(text) if m.end() - m.start() == 11 and _valid_ssn(m[0])]
+        for m in _LOCAL_PHONE_RUN.finditer(text):
+            if m.end() - m.start() >= 12:
+                start = m.end() - len(m[0].lstrip(").- "))
+                said = m[0].strip().lstrip(").- ").rstrip("(). -")
+                if _LOCAL_PHONE.fullmatch(said) and text[start - 1 : start] != "+":
+                    added.append((start, start + len(said), "local_phone", False))
         starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
         for s, e, kind, confirmed in added:
             value = score(text, s, e, kind, confirmed)

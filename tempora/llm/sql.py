@@ -73,3 +73,75 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
   strftime(make_timestamp(1577836800000000 + 1000000 * (page_id % 1000000000)), '%Y%m%d%H%M%S') AS captured_at
 FROM k JOIN g USING (x)
 """
+
+ORACLES["op8_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT rid, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT rid, b, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+r AS (SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+s AS (SELECT rid, min(i) AS a, max(i) + 400 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM m) GROUP BY rid, run),
+p AS (
+  SELECT rid, a AS place, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS f, a AS t FROM s
+  UNION ALL SELECT rid, n, e, n FROM (SELECT rid, max(e) AS e FROM s GROUP BY rid) JOIN d USING (rid)),
+k AS (SELECT rid, list_reduce(list(b[f + 1:t] ORDER BY place), lambda x, y: x || y) AS kept FROM p JOIN d USING (rid) GROUP BY rid),
+c AS (SELECT rid, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
+def _matches(kind: str, pattern: str) -> str:
+    """Leftmost matches of a pattern with their places: the text between matches tells where they are."""
+    return f"""SELECT rid, '{kind}' AS kind, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, m[i] AS x
+  FROM (SELECT rid, m, string_split_regex(t, '{pattern}') AS p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{pattern}') AS m FROM d) WHERE len(m) > 0)"""
+
+
+def _personal_data() -> str:
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    value = "CAST(substr({d}, len({d}) - i, 1) AS INTEGER)".format(d=digits)
+    luhn = f"list_sum(list_transform(range(0, len({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {value} WHEN {value} > 4 THEN 2 * {value} - 9 ELSE 2 * {value} END)) % 10 = 0"
+    letters = "string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), '')"
+    number = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
+    mod97 = f"list_reduce(list_transform({letters}, lambda c: {number}), lambda r, v: CASE WHEN v > 9 THEN (r * 100 + v) % 97 ELSE (r * 10 + v) % 97 END) = 1"
+    near = "substr(t, greatest(0, a - 40) + 1, a - greatest(0, a - 40)) || ' ' || substr(t, a + length(x) + 1, 40)"
+    phone_words = r"(?i)\b(?:phone|tel|call|mobile|fax|telephone|telefon|movil)\b"
+    raw = " UNION ALL ".join(
+        _matches(kind, pattern)
+        for kind, pattern in (
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+            ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+            ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+            ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
+            ("ssn", r"[0-9-]+"),
+            ("local_phone", r"[0-9().\x20-]+"),
+        )
+    )
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+cut AS (
+  SELECT rid, kind, CASE WHEN kind = 'local_phone' THEN a + length(x) - length(ltrim(x, ').- ')) ELSE a END AS a,
+    CASE WHEN kind = 'local_phone' THEN rtrim(ltrim(x, ').- '), '(). -') ELSE x END AS x FROM raw WHERE kind <> 'local_phone' OR length(x) >= 12),
+checked AS (
+  SELECT rid, kind, a, a + length(x) AS e, x, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn', 'local_phone'], kind) AS k, t FROM cut JOIN d USING (rid)
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN len({digits}) BETWEEN 12 AND 19 AND {luhn}
+    WHEN 'phone' THEN len({digits}) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(replace(x, ' ', '')) BETWEEN 15 AND 34 AND {mod97}
+    WHEN 'ssn' THEN regexp_full_match(x, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:] <> '0000' AND regexp_matches({near}, '(?i)\\b(?:ssn|social security|social insurance)\\b')
+    ELSE regexp_full_match(x, '(?:\\([0-9]{{3}}\\)\\x20?|[0-9]{{3}}[-.\\x20])[0-9]{{3}}[-.\\x20][0-9]{{4}}') AND (a = 0 OR substr(t, CAST(a AS INTEGER), 1) <> '+') AND regexp_matches({near}, '{phone_words}') END),
+base AS (SELECT * FROM checked WHERE k <= 4),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM checked c WHERE k > 4 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.a < c.e AND b.e > c.a)),
+g AS (
+  SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) FILTER (k <= 4) AS listed, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)"""
+
+
+ORACLES["op7_personal_data"] = _personal_data()

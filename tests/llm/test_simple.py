@@ -71,6 +71,15 @@ def test_personal_data_query(spark, documents, folder):
     assert all(r.spans is not None for r in got.collect())
 
 
+def test_personal_data_query_equals_sql(spark, documents, folder):
+    alphabets = ["12.@a-b +é", "0123456789 -().tel call ", "DE89 3704004405320130ssn-", "0.5.25+ @x"]
+    rows = [(i, "".join(RNG.choice(a) for _ in range(70))) for i, a in enumerate(alphabets * 60)]
+    rows += [(900 + i, t) for i, t in enumerate(["IBAN DE89 3704 0044 0532 0130 00 ok", "my ssn is 123-45-6789", "tel (555) 123-4567.", "+555-123-4567 tel", "mobile: - 555 123 4567)", None, ""])]
+    sf = folder(documents=documents(rows))
+    assert_same(spark, registry.op7_personal_data, S.ORACLES["op7_personal_data"], sf.removeprefix("file://"))
+    assert_same(spark, registry.op7_personal_data, S.ORACLES["op7_personal_data"], DATA)
+
+
 def brute_repeats(words, window=8):
     grams = Counter(tuple(words[i : i + window]) for i in range(len(words) - window + 1))
     hit = set()

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from tempora.llm import registry, suffix_dedup
-from tests.oracle import DATA
+from tempora.llm.sql import ORACLES
+from tests.oracle import DATA, duck
 
 
 def brute(rows, length):
@@ -68,6 +69,8 @@ def test_query_on_data(spark):
     want = [(d, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for d, n, runs, kept in brute([tuple(r) for r in docs], 400)]
     got = registry.op8_suffix_dedup(spark, DATA).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    names, rows = duck(ORACLES["op8_suffix_dedup"])
+    assert names == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and sorted(rows) == sorted(want)
 
 
 def test_long_texts_are_cut_into_parts_without_loss(monkeypatch):
