@@ -73,10 +73,10 @@ def sentence_segments(spark, sf_dir):
 
 
 def _timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as short segments, ten seconds apart, with pauses of three to six seconds."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left(text.safe_line("text"), F.lit(24)).alias("t")).where("t <> ''")
+    """Turns as segments, ten seconds apart, with pauses of three to six seconds."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.safe_line("text").alias("text")).where("text <> ''")
     start = F.col("turn") * 10.0
-    return turns.select("conv_id", "turn", start.alias("start"), (start + 4 + F.col("turn") % 4).alias("end"), F.trim("t").alias("text"))
+    return turns.select("conv_id", "turn", start.alias("start"), (start + 4 + F.col("turn") % 4).alias("end"), "text")
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
