@@ -33,7 +33,7 @@ MIN_SCORE = 0.6
 CONTEXT_CHARS = 40
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.3, "local_phone": 0.2}
 CHECKSUM_GAIN, CONTEXT_GAIN = 0.4, 0.4
-_PHONE_WORDS = r"\b(?:phone|tel|call|mobile|fax|telephone|telefon|movil)\b"
+_PHONE_WORDS = r"\b(?:phone|tel|call|mobile|fax|telephone|telefon|m[oóÓ]vil)\b"
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|contact|mailto|write)\b", re.I | re.A),
     "ip": re.compile(r"\b(?:ip|address|host|server|addr)\b", re.I | re.A),
@@ -55,8 +55,8 @@ _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]
 # Whole runs of the characters are taken, and then must have the form.
 _SSN_RUN = re.compile(r"[0-9-]+")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
-_LOCAL_PHONE_RUN = re.compile(r"[0-9().\x20-]+")
-_LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}")
+# Other numbers may stand beside this one, but not joined to it by a hyphen, or by a point before it.
+_LOCAL_PHONE = re.compile(r"(?<![0-9+])(?<![0-9][.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?!-?[0-9])")
 _DIGIT = re.compile(r"[0-9]")
 _SEPARATORS = str.maketrans("", "", " -().+")
 
@@ -142,12 +142,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
         added = [(m.start(), m.end(), "iban", True) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", ""))]
         if "-" in text:
             added += [(m.start(), m.end(), "ssn", False) for m in _SSN_RUN.finditer(text) if m.end() - m.start() == 11 and _valid_ssn(m[0])]
-        for m in _LOCAL_PHONE_RUN.finditer(text):
-            if m.end() - m.start() >= 12:
-                start = m.end() - len(m[0].lstrip(").- "))
-                said = m[0].strip().lstrip(").- ").rstrip("(). -")
-                if _LOCAL_PHONE.fullmatch(said) and text[start - 1 : start] != "+":
-                    added.append((start, start + len(said), "local_phone", False))
+        added += [(m.start(), m.end(), "local_phone", False) for m in _LOCAL_PHONE.finditer(text)]
         starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
         for s, e, kind, confirmed in added:
             value = score(text, s, e, kind, confirmed)
