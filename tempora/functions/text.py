@@ -35,9 +35,14 @@ def join_lines(lines: Column) -> Column:
     return collapse_whitespace(F.array_join(lines, " "))
 
 
+def clean_line(c: Column | str) -> Column:
+    """Control characters become blanks and white space collapses."""
+    return collapse_whitespace(replace(c, r"[\x00-\x1f\x7f-\x9f]+", " "))
+
+
 def safe_line(c: Column | str, limit: int = 1024) -> Column:
-    """Control characters become blanks, white space collapses, and the text is cut to ``limit``."""
-    return F.left(collapse_whitespace(replace(c, r"[\x00-\x1f\x7f-\x9f]+", " ")), F.lit(limit))
+    """A clean line, cut to ``limit``."""
+    return F.left(clean_line(c), F.lit(limit))
 
 
 def sanitize_filename(c: Column | str, limit: int = 120) -> Column:

@@ -287,7 +287,7 @@ def json_props_strict(spark, sf_dir):
 
 
 def concatenated_text(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.safe_line("text").alias("line"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_line("text").alias("line"))
     return segments.concatenated(turns, ["conv_id"], "turn", "line", " ")
 
 

@@ -64,3 +64,10 @@ def test_markdown_holds_whole_turns(spark, folder):
     for conv, content in got.items():
         lines = [f"[{clock(s)} - {clock(e)}] {t}" for c, _, s, e, t in brute_paragraphs() if c == conv]
         assert content == f"## metadata\n\ntitle: Conversation {conv}\nsource: conversations\n\n## transcript text\n\n" + "\n".join(lines) + "\n"
+
+
+def test_concatenation_holds_whole_turns(spark, folder):
+    got = {r.conv_id: r.text for r in catalog.concatenated_text(spark, folder).collect()}
+    clean = lambda x: " ".join(re.sub(r"[\x00-\x1f\x7f-\x9f]+", " ", x).split())
+    assert got == {conv: " ".join(clean(x) for c, _, x in sorted(TURNS) if c == conv) for conv in (1, 2)}
+    assert len(got[2]) > 1505
