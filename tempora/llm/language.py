@@ -9,8 +9,8 @@ over its windows, weighted by the letters in them.
 
 The network learns from a bounded sample: about ``per_language`` documents of
 each language chosen by a hash of the id, and at most ``WINDOWS_PER_TEXT``
-windows from each, spread over the whole text.  At most ``MAX_LANGUAGES``
-languages, the most frequent, are learned.
+windows from each, spread over the whole text.  All languages are learned; the
+network and its sample grow with their number.
 
 Defined cases: null text and text without letters give ``und`` with score 0;
 null labels are never learned; without any labelled row all is ``und``; one
@@ -35,13 +35,14 @@ from tempora.llm.common import field, map_text
 WINDOW = 128
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-MAX_LANGUAGES = 256
 WINDOWS_PER_TEXT = 8
 UNDETERMINED = "und"
 #: A small sample is gone through more often, up to so many steps.
 LEAST_STEPS = 250
 #: Windows scored at once; their responses stay within the processor's cache.
 BATCH_WINDOWS = 96
+#: Texts are scored together up to so many windows times languages; a longer text alone.
+BATCH_SCORES = 1 << 23
 _HASH_RANGE = 1 << 30
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -160,11 +161,11 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     """Train on about ``per_language`` of the rows of each language for which ``learnable`` holds."""
     rows = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
     if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
     limits = [(r["lang"], int(_HASH_RANGE * min(1.0, per_language / r["n"]))) for r in counts]
-    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, upto long"))  # at most MAX_LANGUAGES rows
+    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, upto long"))
     sample = rows.join(limit, "lang").where(F.pmod(F.xxhash64("id"), F.lit(_HASH_RANGE)) < F.col("upto")).select("lang", "text")
 
     def run(batches):
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     return train(windows, labels, languages)
 
 
-def predict(docs: DataFrame, net: ByteConvNet, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, net: ByteConvNet, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text", batch_scores: int = BATCH_SCORES) -> DataFrame:
     """``keep`` and, for every whole text, ``lang_pred`` and ``score`` (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size depends on the languages only
 
@@ -197,12 +198,24 @@ def predict(docs: DataFrame, net: ByteConvNet, *, keep: Sequence[str] = ("doc_id
         net = shared.value
         tables = net.tables() if net.languages else None
 
+        def groups(index, texts):
+            """Runs of the texts with their windows, each within ``batch_scores``."""
+            part, windows, size = [], [], 0
+            for i in index:
+                found = windows_of(texts[i])
+                if part and (size + len(found)) * len(net.languages) > batch_scores:
+                    yield part, windows
+                    part, windows, size = [], [], 0
+                part.append(i)
+                windows.append(found)
+                size += len(found)
+            if part:
+                yield part, windows
+
         def run(texts):
             has = [bool(t and tables is not None and _LETTER.search(t)) for t in texts]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            index = [i for i, h in enumerate(has) if h]
-            if index:
-                windows = [windows_of(texts[i]) for i in index]
+            for index, windows in groups([i for i, h in enumerate(has) if h], texts):
                 logp = net.log_probabilities(np.concatenate(windows), tables)
                 weight = np.concatenate([(w > 2).sum(axis=1) for w in windows]).astype(np.float32)
                 ends = np.cumsum([len(w) for w in windows])
