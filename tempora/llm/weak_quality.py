@@ -164,8 +164,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) ->
 
 
 def _shape(word: str) -> bytes:
-    """Upper, lower, digit and other characters, with runs collapsed."""
-    kinds = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]])
+    """Upper, lower, digit and other characters of the whole word, with runs collapsed."""
+    kinds = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word])
     return _RUN.sub(r"\1+", kinds).encode()
 
 

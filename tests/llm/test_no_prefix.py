@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tempora.llm import language
+from tempora.llm import language, weak_quality
 
 
 def test_rare_languages_are_learned(spark, documents):
@@ -18,3 +18,8 @@ def test_rare_languages_are_learned(spark, documents):
     assert got[5000][0] == got[5001][0] == "rare"
     alone = language.predict(docs, net, batch_scores=1).collect()
     assert {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in alone} == got
+
+
+def test_shape_reads_the_whole_word():
+    assert weak_quality._shape("a" * 64 + "9") == weak_quality._shape("a" * 70 + "9") == b"x+9"
+    assert weak_quality._shape("a" * 64) == b"x+"
