@@ -250,13 +250,13 @@ def plan_earliest(spark, sf_dir):
 
 
 def plan_chunks(spark, sf_dir):
-    """Each user's month in units of four hours, split into chunks of one to four days."""
-    unit = 4 * 60 * MINUTE_US
+    """Each user's month in units of ten minutes, split into chunks of one to four days."""
+    unit = 10 * MINUTE_US
     spans = intervals.normalize(event_spans(spark, sf_dir))
     span = spans.agg(F.min("s").alias("t0"), F.max("e").alias("t1")).first()  # two numbers
     t0, t1 = span["t0"] or 0, span["t1"] or 0
     rows = spans.select("user_id", F.floor((F.col("s") - t0) / unit).alias("s"), F.ceil((F.col("e") - t0) / unit).alias("e"), F.lit(-(-(t1 - t0) // unit)).alias("n"))
-    return planner.plan_recordings(rows, USER, "n", shortest=6, longest=24, group=4)
+    return planner.plan_recordings(rows, USER, "n", shortest=144, longest=576, group=4)
 
 
 def skyline_prune(spark, sf_dir):
