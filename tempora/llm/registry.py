@@ -81,10 +81,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that start anywhere else too."""
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    """Every document without the bytes of 400-byte strings that start anywhere else too; words in passages of over 50 words shared with other documents."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, passage=51)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passage_words", F.size("passages").cast("long").alias("n_passages"),
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

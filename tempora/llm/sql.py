@@ -84,9 +84,16 @@ p AS (
   SELECT rid, a AS place, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS f, a AS t FROM s
   UNION ALL SELECT rid, n, e, n FROM (SELECT rid, max(e) AS e FROM s GROUP BY rid) JOIN d USING (rid)),
 k AS (SELECT rid, list_reduce(list(b[f + 1:t] ORDER BY place), lambda x, y: x || y) AS kept FROM p JOIN d USING (rid) GROUP BY rid),
-c AS (SELECT rid, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256
-FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
+c AS (SELECT rid, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid),
+dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+ww AS (SELECT doc_id, i, md5(array_to_string(x[i:i + 50], ' ')) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) - 49)) AS i FROM dw WHERE len(x) > 50)),
+rw AS (SELECT DISTINCT doc_id, i FROM ww WHERE h IN (SELECT h FROM ww GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+cw AS (
+  SELECT doc_id, CAST(sum(CASE WHEN i - p <= 50 THEN i - p ELSE 51 END) AS BIGINT) AS n_passage_words, count(*) FILTER (p IS NULL OR i - p > 50) AS n_passages
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM rw) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, b)) AS kept_sha256,
+  coalesce(n_passage_words, 0) AS n_passage_words, coalesce(n_passages, 0) AS n_passages
+FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid) LEFT JOIN cw USING (doc_id)
 """
 
 

@@ -1,19 +1,30 @@
 """Exact substring dedup by a column-wise multi-document suffix order.
 
-Every 400-byte string has an anchor: the leftmost 240 bytes in it with the
-smallest hash.  Equal strings have equal anchors at equal places, so they meet
-in the group of their anchor, and consecutive strings with the same anchor are
-kept together as one context.  Anchors that occur once are settled by a count,
-as are anchors with one distinct context; only distinct contexts of the others
-are fetched as text.
-
-Such contexts form a collection whose Burrows-Wheeler transform and common
+Two kinds of repeats are found in one pass: strings of 400 bytes that start
+anywhere else (their bytes are removed), and passages of more than 50 words
+that occur in another document (they are reported).  Below, a unit is a byte
+for the first kind and a word for the second.
+
+Every string has an anchor: the leftmost run of units in it with the smallest
+hash.  Equal strings have equal anchors at equal places, so they meet in the
+group of their anchor, and consecutive strings with the same anchor are kept
+together as one context.  An anchor that occurs once proves that its strings
+occur once; these are left out.  Of all other anchors the distinct contexts
+are fetched as text and put in order.
+
+The contexts form collections whose Burrows-Wheeler transform and common
 prefixes are built column by column: each round inserts one symbol of every
 context (from its end), finds all new places with one stable counting sort of
 the transform, takes the new common prefixes from range minima of the old
-ones, and rewrites the three sequential files that hold the collection.  The
-bytes that all contexts of an anchor share around it are one symbol.  A string
-is repeated where a suffix shares 400 bytes with a neighbour in the order.
+ones, and rewrites the sequential files that hold the collection.  The bytes
+that all contexts of an anchor share around it (found by comparing them) are
+one symbol.  A string of bytes is repeated where a suffix shares 400 bytes with
+a neighbour in the order; a passage where an interval of suffixes that share 51
+words has more than one document.
+
+Contexts are told apart by two 64-bit hashes.  When the results come back to
+the documents, each context is held against the SHA-256 of the one that stood
+for it, so a collision raises an error and never removes anything.
 
 An anchor with more than ``GROUP_ROWS`` distinct contexts (a passage quoted
 everywhere) is split: the strings of a context that start in the same slot
@@ -24,17 +35,22 @@ ones are one row.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing;
 matches never cross documents; repeated rows are copies of each other, so all
-their strings repeat; overlapping strings count; an empty table gives an empty
-result; other columns are ignored.
+their strings repeat, but rows that repeat both id and text are one document
+for passages; overlapping strings count; texts of any length are read whole; an
+empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +60,19 @@ from tempora.llm.common import materialize
 LENGTH = 400
 #: Bytes of an anchor for strings of 400 bytes; in proportion for others.
 ANCHOR = 240
+#: Words of a passage, and of its anchor; in proportion for others.
+PASSAGE, PASSAGE_ANCHOR = 51, 12
 #: Distinct contexts of one anchor beyond which it is split, and into how many slots at a time.
 GROUP_ROWS = 256
 SLOTS = 4
 #: Distinct contexts for each task that puts them in order.
 TASK_ROWS = 3000
-#: Contexts, and anchors, in one collection.
-COLLECTION_ROWS, COLLECTION_GROUPS = 1024, 200
-#: Bytes of a sequential file that stay in memory.
-SPOOL_BYTES = 16 << 20
+#: Contexts that a task holds to deal them into collections, and contexts and anchors in one collection.
+PENDING_ROWS = 6000
+COLLECTION_ROWS, COLLECTION_GROUPS = 1024, 400
+BYTES, WORDS = 0, 1
 _PART = 1 << 17
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _POSITION = np.uint64((1 << 18) - 1)
 
 
@@ -81,9 +100,10 @@ class RollingHash:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[: len(data)], out=out[1:])
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of hashed units, from which ``of`` and ``rolling`` take those of substrings."""
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[: len(values)], out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,42 +134,86 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def contexts(data: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one anchor: first start, last start, the anchor's hash, the context's hash."""
-    if len(data) < length:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    raw = np.frombuffer(data, np.uint8)
+def words_in(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of each word of a text."""
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    hashes = np.empty(len(begin), np.uint64)
+    second = _hash_pair()[1]
+    i = 0
+    while i < len(begin):
+        j = int(np.searchsorted(end, begin[i] + _PART, side="right"))
+        if j == i:  # a word longer than a part
+            hashes[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]])
+            j = i + 1
+        else:
+            sums = second.sums(second.table[raw[begin[i] : end[j - 1]]])
+            hashes[i:j] = second.of(sums, begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return begin, end, hashes
+
+
+def _anchored(one: np.ndarray, two: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one anchor: first start, last start, the anchor's hash, the context's hash, the anchor's place in the context."""
     first, second = _hash_pair()
-    out = []
-    for at in range(0, len(raw) - length + 1, _PART):
-        part = raw[at : at + _PART + length - 1]
-        sums = first.sums(part)
+    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)]
+    for at in range(0, len(one) - length + 1, _PART):
+        sums = first.sums(one[at : at + _PART + length - 1])
         hashes = first.rolling(sums, anchor)
         keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
         place = (_sliding_min(keyed, length - anchor + 1) & _POSITION).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([begin[1:], [len(place)]]) - 1
-        whole = second.of(second.sums(part), begin, last + length)
-        out.append((begin + at, last + at, hashes[place[begin]].view(np.int64), whole.view(np.int64)))
+        whole = second.of(second.sums(two[at : at + _PART + length - 1]), begin, last + length)
+        out.append((begin + at, last + at, hashes[place[begin]], whole, place[begin] - begin))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+_PER_CONTEXT = ("first", "last", "anchor", "context", "place", "tail")
+
+
+def contexts(data: bytes, length: int, anchor: int, passage: int, passage_anchor: int) -> tuple[np.ndarray, ...]:
+    """Contexts of both kinds: first byte, last byte less ``length``, anchor (its lowest bit is the kind), context hash, place of the anchor and last start (units of the context)."""
+    raw = np.frombuffer(data, np.uint8)
+    first, second = _hash_pair()
+    found = []
+    if len(raw) >= length:
+        begin, last, anchors, whole, place = _anchored(first.table[raw], second.table[raw], length, anchor)
+        found.append((begin, last, anchors & ~np.uint64(1), whole, place, last - begin))
+    begin, end, hashes = words_in(raw, data)
+    if len(hashes) >= passage:
+        a, b, anchors, whole, place = _anchored(hashes, _mix(hashes), passage, passage_anchor)
+        found.append((begin[a], end[b + passage - 1] - length, anchors | np.uint64(1), whole, place, b - a))
+    if not found:
+        return (np.zeros(0, np.int64),) * len(_PER_CONTEXT)
+    return tuple(np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+
+
 class Sequential:
-    """A column of the collection as a file that is read whole and written anew each round."""
+    """A column of the collection as a file that is read whole and written anew each round.
+
+    The file is a task's scratch space, gone with the task; results never depend on it.
+    """
 
     def __init__(self, dtype) -> None:
         self.dtype = np.dtype(dtype)
-        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)  # noqa: SIM115
+        self.rows = 0
+        self.file = tempfile.TemporaryFile(buffering=0)  # noqa: SIM115
 
     def read(self) -> np.ndarray:
+        out = np.empty(self.rows, self.dtype)
         self.file.seek(0)
-        return np.frombuffer(self.file.read(), self.dtype)
+        if self.rows and self.file.readinto(memoryview(out).cast("B")) != out.nbytes:
+            raise OSError("a sequential file is cut short")
+        return out
 
     def write(self, values: np.ndarray) -> None:
+        self.rows = len(values)
         self.file.seek(0)
-        self.file.truncate()
-        self.file.write(memoryview(np.ascontiguousarray(values, self.dtype)).cast("B"))
+        left = memoryview(np.ascontiguousarray(values, self.dtype)).cast("B")
+        while left:
+            left = left[self.file.write(left) :]
 
     def close(self) -> None:
         self.file.close()
@@ -171,65 +235,60 @@ def suffix_order(symbols: Sequence[np.ndarray], group: np.ndarray, shared_weight
         columns[: len(s), i] = s[::-1]
     alphabet = int(columns.max(initial=0)) + 1
     n_groups = int(group.max(initial=0)) + 1
-    transform, common, owner = Sequential(np.uint16), Sequential(np.int32), Sequential(np.int32)
-    size = Sequential(np.int32)
+    key_type = np.uint16 if n_groups * alphabet <= 1 << 16 else np.uint32  # 16 bits sort by counting
+    base = (group * alphabet).astype(key_type)
+    # The transform holds group and symbol as one sort key; a suffix is named by its row and length.
+    transform, common, name = Sequential(key_type), Sequential(np.int32), Sequential(np.int64)
     try:
-        transform.write(columns[0])
+        transform.write(base + columns[0])
         common.write(np.zeros(m, np.int32))
-        owner.write(np.arange(m))
-        size.write(np.zeros(m, np.int32))
+        name.write(np.arange(m) * (widest + 1))
         place = np.arange(m)  # of the suffix that each row inserted last
         active = np.flatnonzero(lengths > 0)
+        rows = np.bincount(group, minlength=n_groups)
+        count, zeros = rows, np.bincount(group[columns[0] == 0], minlength=n_groups)
         for j in range(1, widest + 1):
-            bwt, lcp, who = transform.read(), common.read(), owner.read()
-            group_of = group[who]
-            key = (group_of * alphabet + bwt).astype(np.uint16)
+            key, lcp, names = transform.read(), common.read(), name.read()
             order = np.argsort(key, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             at = place[active]
-            symbol = bwt[at]
-            r = rank[at]
-            g = group[active]
+            mine, r, g = key[at], rank[at], group[active]
             # In the new order a group has its empty suffixes, then one suffix for each non-zero symbol.
-            before = np.bincount(group_of, minlength=n_groups)
-            first = np.cumsum(before) - before
-            zeros = np.bincount(group_of[bwt == 0], minlength=n_groups)
-            rows = np.bincount(group, minlength=n_groups)
-            grown = rows + before - zeros
-            new_first = np.cumsum(grown) - grown
+            grown = rows + count - zeros
+            first, new_first = np.cumsum(count) - count, np.cumsum(grown) - grown
             target = new_first[g] + rows[g] + (r - first[g] - zeros[g])
             # Common prefixes: of the same symbol's neighbours in the old order.
-            weight = np.where(symbol == 1, shared_weight[g], 1)
+            weight = np.where(mine - base[active] == 1, shared_weight[g], 1)
             above, below = r - 1, r + 1
-            has_above = (above >= 0) & (key[order[np.maximum(above, 0)]] == key[at])
-            has_below = (below < len(order)) & (key[order[np.minimum(below, len(order) - 1)]] == key[at])
+            has_above = (above >= 0) & (key[order[np.maximum(above, 0)]] == mine)
+            has_below = (below < len(order)) & (key[order[np.minimum(below, len(order) - 1)]] == mine)
             up = np.zeros(len(at), np.int64)
             up[has_above] = weight[has_above] + _range_min(lcp, order[above[has_above]] + 1, at[has_above] + 1)
             down = weight[has_below] + _range_min(lcp, at[has_below] + 1, order[below[has_below]] + 1)
             # Merge.
-            total = len(bwt) + len(active)
+            total = len(key) + len(active)
             old = np.ones(total, bool)
             old[target] = False
-            new_bwt, new_lcp, new_who = np.empty(total, np.uint16), np.empty(total, np.int32), np.empty(total, np.int32)
-            new_size = np.empty(total, np.int32)
-            new_bwt[old], new_lcp[old], new_who[old], new_size[old] = bwt, lcp, who, size.read()
-            new_bwt[target] = columns[j][active]
+            new_key, new_lcp, new_names = np.empty(total, key_type), np.empty(total, np.int32), np.empty(total, np.int64)
+            new_key[old], new_lcp[old], new_names[old] = key, lcp, names
+            before = columns[j][active]
+            new_key[target] = base[active] + before
             new_lcp[target[has_below] + 1] = down
             new_lcp[target] = up
-            new_who[target], new_size[target] = active, j
+            new_names[target] = active * (widest + 1) + j
             # Two new suffixes may be neighbours; the later one's prefix is its own `up`.
-            transform.write(new_bwt)
+            transform.write(new_key)
             common.write(new_lcp)
-            owner.write(new_who)
-            size.write(new_size)
-            shifted = np.flatnonzero(old)
-            place = shifted[place] if len(place) else place
+            name.write(new_names)
+            place = np.flatnonzero(old)[place] if len(place) else place
             place[active] = target
+            count, zeros = grown, zeros + np.bincount(g[before == 0], minlength=n_groups)
             active = active[lengths[active] > j]
-        return owner.read().copy(), size.read().copy(), common.read().copy()
+        names = name.read()
+        return names // (widest + 1), names % (widest + 1), common.read()
     finally:
-        for column in (transform, common, owner, size):
+        for column in (transform, common, name):
             column.close()
 
 
@@ -252,47 +311,96 @@ def _shared(left: bytes, right: bytes, limit: int, back: bool) -> int:
     return lo
 
 
-def repeated_starts(groups: Sequence[Sequence[tuple[bytes, int, int]]], length: int, anchor: int) -> list[list[np.ndarray]]:
-    """For each context (bytes, place of the anchor in it, occurrences) of each group: the starts whose string repeats in the group."""
-    symbols, group, weights, places, texts, sure = [], [], [], [], [], []
-    for g, rows in enumerate(groups):
-        lefts, rights = [t[:p] for t, p, _ in rows], [t[p + anchor :] for t, p, _ in rows]
+def _numbered(rows: Sequence[Sequence]) -> list[np.ndarray]:
+    """Units as symbols from 2 on: bytes by value, words by their number among those of the group."""
+    if isinstance(rows[0], bytes):
+        return [np.frombuffer(r, np.uint8).astype(np.uint16) + 2 for r in rows]
+    number: dict[bytes, int] = {}
+    return [np.array([number.setdefault(w, len(number) + 2) for w in r], np.uint16) for r in rows]
+
+
+def _reach(rows: np.ndarray, common: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """The longest prefix that each of some neighbouring suffixes shares with one of another document; ``common`` is with the one before."""
+    best = np.zeros(len(rows), np.int64)
+    for order in (range(1, len(rows)), range(len(rows) - 2, -1, -1)):
+        step = 1 if order.step == 1 else -1
+        held = np.zeros(len(rows), np.int64)
+        for i in order:
+            j = i - step
+            c = common[i] if step == 1 else common[j]
+            (a, b), (x, y) = documents[rows[i]], documents[rows[j]]
+            held[i] = min(c, held[j]) if a == b == x == y else c
+        best = np.maximum(best, held)
+    return best
+
+
+def repeated_starts(groups: Sequence[Sequence[tuple]], length: int, anchor: int, kind: int = BYTES) -> list[list[np.ndarray]]:
+    """For each context (units, place of the anchor, occurrences, smallest and largest document) of each group: the starts whose string repeats.
+
+    Strings of bytes repeat anywhere in the group, passages in another document.
+    """
+    prepared = []
+    for rows in groups:
+        lefts, rights = [r[0][: r[1]] for r in rows], [r[0][r[1] + anchor :] for r in rows]
         by_end = sorted(x[::-1] for x in lefts)
         left = _shared(by_end[0], by_end[-1], length, False)
         right = _shared(min(rights), max(rights), length, False)
-        weights.append(left + anchor + right)
-        for (text, p, n), a, b in zip(rows, lefts, rights, strict=True):
-            head, tail = np.frombuffer(a[: len(a) - left], np.uint8), np.frombuffer(b[right:], np.uint8)
-            symbols.append(np.concatenate([head.astype(np.uint16) + 2, [1], tail.astype(np.uint16) + 2]).astype(np.uint16))
-            group.append(g)
-            places.append(p - left)
-            texts.append(len(text))
-            sure.append(n > 1)
-    used = np.unique(np.concatenate(symbols))  # a dense alphabet keeps the sort key in 16 bits
-    dense = np.zeros(int(used.max()) + 1, np.uint16)
-    dense[used] = np.arange(1, len(used) + 1)
-    group, weights = np.array(group), np.array(weights)
-    owner, size, lcp = suffix_order([dense[s] for s in symbols], group, weights)
-    best = np.maximum(lcp, np.concatenate([lcp[1:], [0]]))
-    starts = np.array([len(s) for s in symbols])[owner] - size  # in symbols
+        symbols = [np.concatenate([n[: p - left], [1], n[p + anchor + right :]]) for n, (_, p, *_) in zip(_numbered([r[0] for r in rows]), rows, strict=True)]
+        used, dense = np.unique(np.concatenate(symbols), return_inverse=True)  # a dense alphabet keeps the sort key in 16 bits
+        symbols = np.split((dense + 1).astype(np.uint16), np.cumsum([len(x) for x in symbols])[:-1])
+        prepared.append((symbols, left, left + anchor + right, len(used) + 1))
+    # Groups of about one width share a collection, so none waits through the rounds of wider ones.
+    order = sorted(range(len(groups)), key=lambda g: max(len(x) for x in prepared[g][0]))
+    out: list[list[np.ndarray]] = [[] for _ in groups]
+    part: list[int] = []
+    n_rows = alphabet = 0
+    for g in [*order, None]:
+        if g is not None:
+            n_rows, alphabet = n_rows + len(groups[g]), max(alphabet, prepared[g][3])
+        if part and (g is None or n_rows > COLLECTION_ROWS or len(part) >= COLLECTION_GROUPS or (len(part) + 1) * alphabet > 1 << 16):
+            for h, found in zip(part, _starts_in([groups[h] for h in part], [prepared[h] for h in part], length, kind), strict=True):
+                out[h] = found
+            part, n_rows, alphabet = [], len(groups[g]) if g is not None else 0, prepared[g][3] if g is not None else 0
+        if g is not None:
+            part.append(g)
+    return out
+
+
+def _starts_in(groups: Sequence[Sequence[tuple]], prepared: Sequence[tuple], length: int, kind: int) -> list[list[np.ndarray]]:
+    """The repeated starts of one collection."""
+    symbols = [x for p in prepared for x in p[0]]
+    group = np.repeat(np.arange(len(groups)), [len(rows) for rows in groups])
+    place = np.array([r[1] for rows in groups for r in rows]) - np.array([p[1] for p in prepared])[group]
+    owner, size, lcp = suffix_order(symbols, group, np.array([p[2] for p in prepared]))
+    starts = np.array([len(x) for x in symbols])[owner] - size  # in symbols
+    at_shared = np.flatnonzero((starts == place[owner]) & (size > 0))
+    if kind == BYTES:
+        best = np.maximum(lcp, np.concatenate([lcp[1:], [0]]))
+        repeats, reach = best >= length, best[at_shared]
+    else:
+        documents = np.array([r[3:] for rows in groups for r in rows], np.int64)
+        begin = np.flatnonzero(lcp < length)  # of each interval of suffixes that share ``length`` words
+        ends = documents[owner]
+        several = np.minimum.reduceat(ends[:, 0], begin) != np.maximum.reduceat(ends[:, 1], begin)
+        repeats = np.repeat(several, np.diff(np.concatenate([begin, [len(lcp)]])))
+        cuts = np.flatnonzero(np.diff(group[owner[at_shared]])) + 1
+        reach = np.concatenate([_reach(owner[i], lcp[i], documents) for i in np.split(at_shared, cuts)])
     found: list[list[int]] = [[] for _ in symbols]
-    place = np.array(places)
-    for row, start in zip(owner[best >= length].tolist(), starts[best >= length].tolist(), strict=True):
-        if start < place[row]:
-            found[row].append(start)
-    at_shared = (starts == place[owner]) & (size > 0)
-    reach = dict(zip(owner[at_shared].tolist(), best[at_shared].tolist(), strict=True))
+    before = repeats & (starts < place[owner])
+    for row, start in zip(owner[before].tolist(), starts[before].tolist(), strict=True):
+        found[row].append(start)
+    reach = dict(zip(owner[at_shared].tolist(), reach.tolist(), strict=True))
     out, row = [], 0
     for rows in groups:
         here = []
-        for text, p, _ in rows:
-            last = len(text) - length
-            if sure[row]:
+        for units, p, n, lo, hi in rows:
+            last = len(units) - length
+            if n > 1 if kind == BYTES else lo != hi:
                 here.append(np.arange(last + 1))
             else:
                 # Strings that start inside what the group shares, up to the anchor itself.
-                more = min(p, last, places[row] + reach[row] - length)
-                here.append(np.array(sorted(found[row]) + list(range(places[row], more + 1)), np.int64))
+                more = min(p, last, int(place[row]) + reach[row] - length)
+                here.append(np.array(sorted(found[row]) + list(range(int(place[row]), more + 1)), np.int64))
             row += 1
         out.append(here)
     return out
@@ -312,149 +420,185 @@ _RUNS = "array<struct<first:int,last:int>>"
 _RUNS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _resolve(length: int, anchor: int):
-    """Rows (anchor, context, n, place, bytes), whole anchors in order, to (anchor, context, runs)."""
+class Spans:
+    """Lengths in units at one level of splitting: of strings, of what the strings of an anchor share, and how many may start in a context."""
 
-    def run(batches):
-        pending: list[list[tuple]] = []
-        rows = 0
+    def __init__(self, length: int, passage: int, shared: tuple[int, int] | None = None) -> None:
+        self.length = (length, passage)
+        self.shared = shared or (max(1, length * ANCHOR // LENGTH), max(1, passage * PASSAGE_ANCHOR // PASSAGE))
+        self.starts = tuple(n - a + 1 for n, a in zip(self.length, self.shared, strict=True))
+        self.step = tuple(-(-s // SLOTS) for s in self.starts)
+
+    def narrower(self) -> Spans:
+        return Spans(*self.length, tuple(n - s + 1 for n, s in zip(self.length, self.step, strict=True)))
 
-        def flush():
-            done = repeated_starts([[(t, p, n) for _, _, n, p, t in g] for g in pending], length, anchor)
-            flat = [(a, c, _runs(s)) for g, found in zip(pending, done, strict=True) for (a, c, *_), s in zip(g, found, strict=True)]
+
+def _resolve(spans: Spans):
+    """Contexts, whole anchors in order, to (anchor, context, runs)."""
+
+    def run(batches):
+        pending: tuple[list, list] = ([], [])
+        rows = [0, 0]
+
+        def flush(kind):
+            units = (lambda t: t.split()) if kind == WORDS else bytes
+            done = repeated_starts([[(units(t), p, n, lo, hi) for _, _, n, lo, hi, p, _, t in g] for g in pending[kind]], spans.length[kind], spans.shared[kind], kind)
+            flat = [(a, c, _runs(s)) for g, found in zip(pending[kind], done, strict=True) for (a, c, *_), s in zip(g, found, strict=True)]
+            pending[kind].clear()
+            rows[kind] = 0
             names = ["anchor", "context", "runs"]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], _RUNS_ARROW)], names=names)
 
+        def add(group):
+            kind = group[0][0] & 1
+            pending[kind].append(group)
+            rows[kind] += len(group)
+            if rows[kind] >= PENDING_ROWS:
+                yield flush(kind)
+
         group: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][0] != row[0]:
-                    pending.append(group)
-                    rows += len(group)
+                    yield from add(group)
                     group = []
-                    if rows >= COLLECTION_ROWS or len(pending) >= COLLECTION_GROUPS:
-                        yield flush()
-                        pending, rows = [], 0
                 group.append(row)
         if group:
-            pending.append(group)
-        if pending:
-            yield flush()
+            yield from add(group)
+        for kind in (BYTES, WORDS):
+            if pending[kind]:
+                yield flush(kind)
 
     return run
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents with a 128-bit key of id and text; rows with the same key are copies of each other."""
-    text, key = F.col(text_col), F.col(id_col)
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     return docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), key.alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
 
 
-def repeated_runs(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, runs): merged later, the runs of byte positions (first start, last start) of repeated strings."""
-    anchor = max(1, length * ANCHOR // LENGTH)
+def digest_of(kind: int, data: bytes) -> bytes:
+    """16 bytes of the SHA-256 of a context: of its bytes, or of its words."""
+    return hashlib.sha256(b" ".join(data.split()) if kind == WORDS else data).digest()[:16]
+
+
+def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(k1, k2, first, last, anchor, digest, runs): the repeated strings of the contexts that have any.
+
+    A context holds the bytes from ``first`` to ``last + length``; a run has the
+    first and last unit of the context from which strings repeat.
+    """
+    spans = Spans(length, passage)
 
     def find(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [contexts(d, length, anchor) for d in part.column(2).to_pylist()]
-                lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["k1", "k2", "first", "last", "anchor", "context"])
+                found = [contexts(d, length, spans.shared[BYTES], passage, spans.shared[WORDS]) for d in part.column(2).to_pylist()]
+                lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(len(_PER_CONTEXT))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["k1", "k2", *_PER_CONTEXT])
 
-    lists = "first array<bigint>, last array<bigint>, anchor array<bigint>, context array<bigint>"
-    per_doc = keyed.where(F.octet_length("data") >= length).select("k1", "k2", "data").mapInArrow(find, f"k1 bigint, k2 bigint, {lists}")
+    lists = ", ".join(f"{name} array<bigint>" for name in _PER_CONTEXT)
+    least = min(length, 2 * passage - 1)
+    per_doc = keyed.where(F.octet_length("data") >= least).select("k1", "k2", "data").mapInArrow(find, f"k1 bigint, k2 bigint, {lists}")
     per_doc = materialize(per_doc, "contexts")
-    rows = per_doc.select("k1", "k2", F.inline(F.arrays_zip("first", "last", "anchor", "context")))
-    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("n > 1")
-    several = materialize(several.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "anchors")
+    rows = per_doc.select("k1", "k2", F.inline(F.arrays_zip(*_PER_CONTEXT)))
+    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).where(f"n > 1 AND ({_IS_BYTES} OR lo <> hi)")
+    several = materialize(several.select("anchor"), "anchors")
     rows = materialize(rows.join(several, "anchor"), "instances")
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("last") - F.col("first")).cast("int").alias("last"))).cast(_RUNS)
-    settled = rows.where("NOT mixed").select("k1", "k2", "first", whole.alias("runs"))
-    mixed = rows.where("mixed")
-    if mixed.isEmpty():
-        return settled
 
     # One instance stands for each distinct context; its text is fetched.
-    pick = F.struct("k1", "k2", "first", "last")
-    distinct = mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(pick).alias("at"))
-    wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "at.first", "at.last").alias("c"))
+    pick = F.struct("k1", "k2", "first", "last", "place", "tail")
+    distinct = rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min(pick).alias("at"))
+    wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "lo", "hi", "at.first", "at.last", "at.place", "at.tail").alias("c"))
     wanted = materialize(wanted.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs")), "wanted")
     source = keyed.select("k1", "k2", "data").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
     # A document that is there more than once gives its contexts as often; one of each stays.
     cut = F.explode(F.transform("cs", lambda c: F.struct(
-        c["anchor"].alias("anchor"), c["context"].alias("context"), c["n"].alias("n"),
+        *[c[name].alias(name) for name in ("anchor", "context", "n", "lo", "hi")], *[c[name].cast("int").alias(name) for name in ("place", "tail")],
         F.substring(F.col("data"), (c["first"] + 1).cast("int"), (c["last"] - c["first"] + length).cast("int")).alias("data"),
     )))
-    texts = source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    kept = [F.first(name).alias(name) for name in _names(_CONTEXT)[2:]]
+    texts = source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(*kept)
+    words = F.regexp_replace(F.col("data").cast("string"), r"[\x20\x09-\x0D]+", " ").cast("binary")
+    digest = F.unhex(F.left(F.sha2(F.when(F.expr(_IS_BYTES), F.col("data")).otherwise(words), 256), F.lit(32)))
+    texts = materialize(texts.withColumn("digest", digest), "texts")
+    results = materialize(_repeats_in(texts.drop("digest"), spans), "resolved")
+    results = results.join(texts.select("anchor", "context", "digest"), ["anchor", "context"])
+    return rows.join(results, ["anchor", "context"]).select("k1", "k2", "first", "last", "anchor", "tail", "digest", "runs")
 
-    def with_place(batches):
-        for batch in batches:
-            places = [anchor_place(d, length, anchor) for d in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.int32()), batch.column(3)], names=["anchor", "context", "n", "place", "data"])
 
-    texts = texts.select("anchor", "context", "n", "data").mapInArrow(with_place, _CONTEXT)
-    results = materialize(_repeats_in(materialize(texts, "texts"), length, anchor, length - anchor + 1), "resolved")
-    more = mixed.join(results, ["anchor", "context"]).select("k1", "k2", "first", "runs")
-    return settled.unionByName(more)
+_CONTEXT = "anchor bigint, context bigint, n bigint, lo bigint, hi bigint, place int, tail int, data binary"
+_IS_BYTES = "(anchor & 1) = 0"
 
 
-_CONTEXT = "anchor bigint, context bigint, n bigint, place int, data binary"
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
-def anchor_place(data: bytes, length: int, anchor: int) -> int:
-    """Where the anchor of a context's strings begins."""
-    first = _hash_pair()[0]
-    raw = np.frombuffer(data[:length], np.uint8)
-    hashes = first.rolling(first.sums(raw), anchor)
-    return int(np.argmin((hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)))
+def _values(kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed units of a context for both hashes, and where units begin and end."""
+    raw = np.frombuffer(data, np.uint8)
+    first, second = _hash_pair()
+    if kind == WORDS:
+        begin, end, hashes = words_in(raw, data)
+        return hashes, _mix(hashes), begin, end
+    at = np.arange(len(raw))
+    return first.table[raw], second.table[raw], at, at + 1
 
 
-def _repeats_in(texts: DataFrame, length: int, anchor: int, starts: int) -> DataFrame:
-    """(anchor, context, runs) of distinct contexts (anchor, context, n, place, data) with repeated strings.
+def _repeats_in(texts: DataFrame, spans: Spans) -> DataFrame:
+    """(anchor, context, runs) of distinct contexts with repeated strings.
 
-    ``anchor`` bytes at ``place`` are the same in all contexts of an anchor,
-    and each context has at most ``starts`` strings.
+    The units that the contexts of an anchor share begin at ``place``; strings
+    start from unit 0 to ``tail``.  The only context of its anchor repeats as a
+    whole or not at all; all others are put in order.
     """
-    per_anchor = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
-    per_anchor = materialize(per_anchor.where("rows > 1 OR most > 1"), "groups")
-    alone = per_anchor.where("rows = 1").select("anchor")
-    every = F.array(F.struct(F.lit(0).alias("first"), (F.octet_length("data") - length).alias("last"))).cast(_RUNS)
-    out = texts.where("n > 1").join(alone, "anchor", "left_semi").select("anchor", "context", every.alias("runs"))
+    per_anchor = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    per_anchor = per_anchor.where(f"CASE WHEN {_IS_BYTES} THEN rows > 1 OR most > 1 ELSE lo <> hi END")
+    per_anchor = materialize(per_anchor.select("anchor", "rows"), "groups")
+    every = F.array(F.struct(F.lit(0).alias("first"), F.col("tail").alias("last"))).cast(_RUNS)
+    out = texts.join(per_anchor.where("rows = 1").select("anchor"), "anchor", "left_semi").select("anchor", "context", every.alias("runs"))
     few = texts.join(per_anchor.where(F.col("rows").between(2, GROUP_ROWS)).select("anchor"), "anchor", "left_semi")
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_ROWS))
-    few = few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context").select("anchor", "context", "n", "place", "data")
-    found = few.mapInArrow(_resolve(length, anchor), f"anchor bigint, context bigint, runs {_RUNS}")
+    few = few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context").select(*_names(_CONTEXT))
+    found = few.mapInArrow(_resolve(spans), f"anchor bigint, context bigint, runs {_RUNS}")
     out = out.unionByName(found.where(F.size("runs") > 0))
     many = per_anchor.where(F.col("rows") > GROUP_ROWS).select("anchor")
     if many.isEmpty():
         return out
-    step = -(-starts // SLOTS)
-    hot = texts.join(many, "anchor", "left_semi").select("anchor", "context", "n", "place", "data")
-    parts = materialize(hot.mapInArrow(_slots(length, step), f"{_CONTEXT}, parent_anchor bigint, parent_context bigint, start int"), "slots")
-    narrow = parts.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("data").alias("data"))
-    below = materialize(_repeats_in(materialize(narrow, "narrow"), length, length - step + 1, step), "below")
+    hot = texts.join(many, "anchor", "left_semi").select(*_names(_CONTEXT))
+    parts = materialize(hot.mapInArrow(_slots(spans), f"{_CONTEXT}, {_PARENT}"), "slots")
+    merged = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.first(name).alias(name) for name in ("place", "tail", "data")]]
+    narrow = materialize(parts.groupBy("anchor", "context").agg(*merged), "narrow")
+    below = materialize(_repeats_in(narrow, spans.narrower()), "below")
     back = parts.select("anchor", "context", "parent_anchor", "parent_context", "start").join(below, ["anchor", "context"])
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
     whole = back.select("parent_anchor", "parent_context", moved.cast(_RUNS).alias("runs")).groupBy("parent_anchor", "parent_context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return out.unionByName(whole.select(F.col("parent_anchor").alias("anchor"), F.col("parent_context").alias("context"), "runs"))
 
 
-def _slots(length: int, step: int):
+_PARENT = "parent_anchor bigint, parent_context bigint, start int"
+
+
+def _slots(spans: Spans):
     """Contexts cut by the slot in which their strings start, counted back from the anchor.
 
-    All strings of a slot hold the same ``length - step + 1`` bytes, which are
+    All strings of a slot hold the same ``length - step + 1`` units, which are
     the anchor of the new context.
     """
 
     def run(batches):
         second = _hash_pair()[1]
-        names = [part.split()[0] for part in f"{_CONTEXT}, parent_anchor bigint, parent_context bigint, start int".split(", ")]
         for batch in batches:
             out = []
-            for anchor, context, n, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = second.sums(np.frombuffer(data, np.uint8))
-                last = len(data) - length
+            for anchor, context, n, lo, hi, place, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind = anchor & 1
+                length, step = spans.length[kind], spans.step[kind]
+                _, values, begins, ends = _values(kind, data)
+                sums = second.sums(values)
+                last = len(values) - length
                 slots = sorted({(place - s) // step for s in range(last + 1)})
                 for slot in slots:
                     a, b = max(0, place - (slot + 1) * step + 1), min(last, place - slot * step)
@@ -462,58 +606,96 @@ def _slots(length: int, step: int):
                     begin, end = np.array([core, a]), np.array([core + length - step + 1, b + length])
                     common, whole = second.of(sums, begin, end)
                     salt = np.array([slot + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    key = _mix((salt ^ common) + np.array([anchor]).view(np.uint64))
-                    out.append((int(key.view(np.int64)[0]), int(whole.view(np.int64)), n, core - a, data[a : b + length], anchor, context, a))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                    key = (_mix((salt ^ common) + np.array([anchor]).view(np.uint64)) & ~np.uint64(1)) | np.uint64(kind)
+                    out.append((int(key.view(np.int64)[0]), int(whole.view(np.int64)), n, lo, hi, core - a, b - a, data[begins[a] : ends[b + length - 1]], anchor, context, a))
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_names(f"{_CONTEXT}, {_PARENT}"))
 
     return run
 
 
-def _covered(runs: Sequence[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes (end exclusive) covered by strings with these first and last starts."""
+def _covered(found: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes (end exclusive) covered by these."""
     out: list[list[int]] = []
-    for a, b in sorted(runs):
+    for a, b in sorted(found):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + length)
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b + length])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+class CollisionError(RuntimeError):
+    """Two different contexts with the same hashes: never seen, but nothing may be removed by it."""
+
+
+def spans_in(data: bytes, rows: Sequence[tuple], length: int, passage: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Byte spans of a text's repeated strings, and of its passages, from its contexts (first, last, anchor, tail, digest, runs)."""
+    removed, passages = [], []
+    for at, last, anchor, tail, digest, runs in rows:
+        kind = anchor & 1
+        context = data[at : last + length]
+        if digest_of(kind, context) != digest:
+            raise CollisionError(f"contexts of anchor {anchor} differ")
+        if kind == BYTES:
+            removed += [(at + a, at + b + length) for a, b in runs]
+        elif runs == [(0, tail)]:
+            passages.append((at, last + length))
+        else:
+            words = [m.span() for m in _WORD.finditer(context)]
+            passages += [(at + words[a][0], at + words[b + passage - 1][1]) for a, b in runs]
+    return _covered(removed), _covered(passages)
+
+
+def _rows_of(lists: pa.ListArray) -> list[list[tuple]]:
+    """The contexts of each document as tuples, without a Python dictionary for each."""
+    first, last, anchor, tail, digest, runs = lists.values.flatten()
+    edges, values = runs.offsets.to_pylist(), [x.to_pylist() for x in runs.values.flatten()]
+    pairs = list(zip(*values, strict=True))
+    flat = list(zip(*(x.to_pylist() for x in (first, last, anchor, tail, digest)), [pairs[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+    cuts = lists.offsets.to_pylist()
+    return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document: id, n_bytes, spans (removed bytes, end exclusive), kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """One row per document: id, n_bytes, spans (removed bytes, end exclusive), kept (the remaining bytes), passages, n_passage_words.
 
     Every byte covered by a string of ``length`` bytes that also starts
-    elsewhere in the table is removed, all occurrences alike.
+    elsewhere in the table is removed, all occurrences alike.  ``passages`` are
+    the byte spans covered by ``passage`` words that also follow each other in
+    another document, however many bytes they have; they stay in ``kept``
+    unless the first rule removes them.
     """
     keyed = _keyed(docs, id_col, text_col)
-    runs = repeated_runs(keyed, length)
-    absolute = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("a"), (F.col("first") + r["last"]).alias("b")))
-    per_doc = runs.select("k1", "k2", F.explode(absolute).alias("r")).groupBy("k1", "k2").agg(F.collect_set("r").alias("rs"))
+    runs = repeated_runs(keyed, length, passage)
+    per_doc = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "anchor", "tail", "digest", "runs")).alias("rs"))
     per_doc = materialize(per_doc, "removed")
     joined = keyed.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "data", "rs")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
+    fields = [("n_bytes", T.LongType()), ("spans", SPANS), ("kept", T.BinaryType()), ("passages", SPANS), ("n_passage_words", T.LongType())]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, t) for n, t in fields]])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.int64(), span_type, pa.binary(), span_type, pa.int64()]
 
     def cut(batches):
         for batch in batches:
+            found = _rows_of(batch.column(2))
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sizes, spans, kept = [], [], []
-                for data, rs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found = _covered([(r["a"], r["b"]) for r in rs], length) if rs else []
+                out: list[list] = [[] for _ in kinds]
+                for data, rows in zip(part.column(1).to_pylist(), found[at : at + 64], strict=True):
+                    removed, passages = spans_in(data, rows, length, passage)
                     rest, done = [], 0
-                    for a, b in found:
+                    for a, b in removed:
                         rest.append(data[done:a])
                         done = b
-                    sizes.append(len(data))
-                    spans.append([{"start": a, "end": b} for a, b in found])
-                    kept.append(b"".join([*rest, data[done:]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
+                    as_rows = [[{"start": a, "end": b} for a, b in x] for x in (removed, passages)]
+                    n_words = sum(len(data[a:b].split()) for a, b in passages)
+                    for column, value in zip(out, (len(data), as_rows[0], b"".join([*rest, data[done:]]), as_rows[1], n_words), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=schema.fieldNames())
 
     return joined.mapInArrow(cut, schema)

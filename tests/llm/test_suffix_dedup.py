@@ -1,6 +1,7 @@
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,21 +65,88 @@ def test_empty_table(documents):
     assert run(documents([]), 400) == []
 
 
+def brute_passages(rows, passage):
+    """(id, byte spans, words) covered by ``passage`` words that also follow each other in another document."""
+    texts = {(d, t): (t or "").encode() for d, t in rows}
+    spans = {k: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for k, b in texts.items()}
+    owners = defaultdict(set)
+    for k, b in texts.items():
+        words = [b[x:y] for x, y in spans[k]]
+        for i in range(len(words) - passage + 1):
+            owners[tuple(words[i : i + passage])].add(k)
+    out = []
+    for d, t in rows:
+        b, at = texts[d, t], spans[d, t]
+        words = [b[x:y] for x, y in at]
+        found = [(at[i][0], at[i + passage - 1][1]) for i in range(len(words) - passage + 1) if len(owners[tuple(words[i : i + passage])]) > 1]
+        merged = []
+        for x, y in found:
+            if merged and x <= merged[-1][1]:
+                merged[-1][1] = y
+            else:
+                merged.append([x, y])
+        out.append((d, tuple(map(tuple, merged)), sum(len(b[x:y].split()) for x, y in merged)))
+    return sorted(out, key=repr)
+
+
+def passages_of(df, passage):
+    got = suffix_dedup.remove_repeats(df, length=400, passage=passage).collect()
+    return sorted(((r.doc_id, tuple((s.start, s.end) for s in r.passages), r.n_passage_words) for r in got), key=repr)
+
+
+@pytest.mark.parametrize("group_rows", [256, 3])
+def test_passages_equal_brute_force(documents, monkeypatch, group_rows):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group_rows)
+    rng = random.Random(8)
+    words = ["a", "bb", "ccc", "dé", "e" * 300, "f.", "gg"]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        a = rng.randint(0, 30)
+        part = base[a : a + rng.randint(5, 40)]
+        if rng.random() < 0.4:
+            part[rng.randrange(len(part))] = "other"
+        noise = [rng.choice(words) + str(rng.randint(0, 3)) for _ in range(rng.randint(0, 9))]
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join([*noise, *part, *noise[::-1]])))
+    rows += [(90, "x y z " * 30), (91, None), (92, ""), (93, rows[0][1]), (94, rows[1][1]), (94, rows[1][1]), (None, rows[2][1])]
+    assert passages_of(documents(rows, lo=1, data="clash"), 8) == brute_passages(rows, 8)
+
+
+def test_a_passage_under_400_bytes_is_reported_and_stays(documents):
+    rng = random.Random(2)
+    passage = " ".join(rng.choice(["ab", "cde", "fg", "h"]) + str(rng.randint(0, 99)) for _ in range(55))
+    rows = [(1, "one two " + passage + " three"), (2, "four\n" + passage.replace(" ", "\n") + " five six"), (3, "nothing of that kind " * 3 + "end")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(documents(rows)).collect()}
+    assert len(passage.encode()) < 400 and [got[i].n_passage_words for i in (1, 2, 3)] == [55, 55, 0] and not any(r.spans for r in got.values())
+
+
+def test_a_collision_of_hashes_is_an_error():
+    row = (0, 0, 2, 0, suffix_dedup.digest_of(0, b"abcd"), [(0, 0)])
+    assert suffix_dedup.spans_in(b"abcd", [row], 4, 51) == ([(0, 4)], [])
+    with pytest.raises(suffix_dedup.CollisionError):
+        suffix_dedup.spans_in(b"abce", [row], 4, 51)
+
+
 def test_query_on_data(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
-    want = [(d, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for d, n, runs, kept in brute([tuple(r) for r in docs], 400)]
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    more = {d: (n, len(spans)) for d, spans, n in brute_passages(docs, 51)}
+    want = [(d, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), *more[d]) for d, n, runs, kept in brute(docs, 400)]
     got = registry.op8_suffix_dedup(spark, DATA).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted(tuple(r) for r in got) == sorted(want)
     names, rows = duck(ORACLES["op8_suffix_dedup"])
-    assert names == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and sorted(rows) == sorted(want)
+    assert names == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"] and sorted(rows) == sorted(want)
 
 
 def test_long_texts_are_cut_into_parts_without_loss(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PART", 100)
     rng = random.Random(3)
     text = "".join(rng.choice("ab") for _ in range(700)).encode()
-    first, last, _, _ = suffix_dedup.contexts(text, 40, 24)
+    first, last, *_ = suffix_dedup.contexts(text, 40, 24, 51, 20)
     assert sum(last - first + 1) == len(text) - 39
+    text = b" ".join([b"w%d" % rng.randint(0, 9) for _ in range(400)] + [b"long" * 60])
+    begin, end, hashes = suffix_dedup.words_in(np.frombuffer(text, np.uint8), text)
+    assert [text[a:b] for a, b in zip(begin, end, strict=True)] == text.split()
+    assert len(set(hashes.tolist())) == len(set(text.split()))
 
 
 def test_suffix_order_and_common_prefixes():
@@ -106,8 +174,7 @@ def test_suffix_order_and_common_prefixes():
             assert common[t] == n
 
 
-def test_sequential_files_spill(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SPOOL_BYTES", 16)
+def test_sequential_files():
     column = suffix_dedup.Sequential(np.int32)
     column.write(np.arange(1000))
     column.write(np.arange(500))
