@@ -511,21 +511,23 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     # One instance stands for each distinct context; its text is fetched.
     pick = F.struct("k1", "k2", "first", "last", "place", "tail")
     distinct = rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min(pick).alias("at"))
-    wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "lo", "hi", "at.first", "at.last", "at.place", "at.tail").alias("c"))
+    distinct = _with_rows(materialize(distinct, "distinct"))
+    wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "lo", "hi", "rows", "at.first", "at.last", "at.place", "at.tail").alias("c"))
     wanted = materialize(wanted.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs")), "wanted")
     source = keyed.select("k1", "k2", "data").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
-    # A document that is there more than once gives its contexts as often; one of each stays.
     cut = F.explode(F.transform("cs", lambda c: F.struct(
-        *[c[name].alias(name) for name in ("anchor", "context", "n", "lo", "hi")], *[c[name].cast("int").alias(name) for name in ("place", "tail")],
+        *[c[name].alias(name) for name in ("anchor", "context", "n", "lo", "hi", "rows")], *[c[name].cast("int").alias(name) for name in ("place", "tail")],
         F.substring(F.col("data"), (c["first"] + 1).cast("int"), (c["last"] - c["first"] + length).cast("int")).alias("data"),
     )))
-    kept = [F.first(name).alias(name) for name in _names(_CONTEXT)[2:]]
-    texts = source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(*kept)
+    texts = source.select(cut.alias("c")).select("c.*")
     words = F.regexp_replace(F.col("data").cast("string"), r"[\x20\x09-\x0D]+", " ").cast("binary")
     digest = F.unhex(F.left(F.sha2(F.when(F.expr(_IS_BYTES), F.col("data")).otherwise(words), 256), F.lit(32)))
-    texts = materialize(texts.withColumn("digest", digest), "texts")
-    results = materialize(_repeats_in(texts.drop("digest"), spans), "resolved")
-    results = results.join(texts.select("anchor", "context", "digest"), ["anchor", "context"])
+    texts = texts.withColumns({"digest": digest, "data": F.when(F.col("rows") > 1, F.col("data"))})  # one alone needs no order
+    # A document that is there more than once gives its contexts as often; one of each stays.
+    kept = [F.first(name).alias(name) for name in (*_names(_CONTEXT)[2:], "rows", "digest")]
+    texts = materialize(texts.groupBy("anchor", "context").agg(*kept), "texts")
+    results = _repeats_in(texts.drop("digest"), spans).join(texts.select("anchor", "context", "digest"), ["anchor", "context"])
+    results = materialize(results, "resolved")
     return rows.join(results, ["anchor", "context"]).select("k1", "k2", "first", "last", "anchor", "tail", "digest", "runs")
 
 
@@ -548,6 +550,13 @@ def _values(kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return first.table[raw], second.table[raw], at, at + 1
 
 
+def _with_rows(distinct: DataFrame) -> DataFrame:
+    """Distinct contexts of anchors with anything to repeat, with ``rows``, the number of their anchor's."""
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("__most"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    per_anchor = per_anchor.where(f"CASE WHEN {_IS_BYTES} THEN rows > 1 OR __most > 1 ELSE __lo <> __hi END").select("anchor", "rows")
+    return distinct.join(per_anchor, "anchor")
+
+
 def _repeats_in(texts: DataFrame, spans: Spans) -> DataFrame:
     """(anchor, context, runs) of distinct contexts with repeated strings.
 
@@ -555,24 +564,20 @@ def _repeats_in(texts: DataFrame, spans: Spans) -> DataFrame:
     start from unit 0 to ``tail``.  The only context of its anchor repeats as a
     whole or not at all; all others are put in order.
     """
-    per_anchor = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    per_anchor = per_anchor.where(f"CASE WHEN {_IS_BYTES} THEN rows > 1 OR most > 1 ELSE lo <> hi END")
-    per_anchor = materialize(per_anchor.select("anchor", "rows"), "groups")
     every = F.array(F.struct(F.lit(0).alias("first"), F.col("tail").alias("last"))).cast(_RUNS)
-    out = texts.join(per_anchor.where("rows = 1").select("anchor"), "anchor", "left_semi").select("anchor", "context", every.alias("runs"))
-    few = texts.join(per_anchor.where(F.col("rows").between(2, GROUP_ROWS)).select("anchor"), "anchor", "left_semi")
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_ROWS))
+    out = texts.where("rows = 1").select("anchor", "context", every.alias("runs"))
+    few = texts.where(F.col("rows").between(2, GROUP_ROWS))
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-few.count() // TASK_ROWS))
     few = few.repartition(tasks, "anchor").sortWithinPartitions("anchor", "context").select(*_names(_CONTEXT))
     found = few.mapInArrow(_resolve(spans), f"anchor bigint, context bigint, runs {_RUNS}")
     out = out.unionByName(found.where(F.size("runs") > 0))
-    many = per_anchor.where(F.col("rows") > GROUP_ROWS).select("anchor")
-    if many.isEmpty():
+    hot = texts.where(F.col("rows") > GROUP_ROWS).select(*_names(_CONTEXT))
+    if hot.isEmpty():
         return out
-    hot = texts.join(many, "anchor", "left_semi").select(*_names(_CONTEXT))
     parts = materialize(hot.mapInArrow(_slots(spans), f"{_CONTEXT}, {_PARENT}"), "slots")
     merged = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.first(name).alias(name) for name in ("place", "tail", "data")]]
     narrow = materialize(parts.groupBy("anchor", "context").agg(*merged), "narrow")
-    below = materialize(_repeats_in(narrow, spans.narrower()), "below")
+    below = materialize(_repeats_in(materialize(_with_rows(narrow), "sized"), spans.narrower()), "below")
     back = parts.select("anchor", "context", "parent_anchor", "parent_context", "start").join(below, ["anchor", "context"])
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
     whole = back.select("parent_anchor", "parent_context", moved.cast(_RUNS).alias("runs")).groupBy("parent_anchor", "parent_context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
