@@ -9,8 +9,9 @@ Every string has an anchor: the leftmost run of units in it with the smallest
 hash.  Equal strings have equal anchors at equal places, so they meet in the
 group of their anchor, and consecutive strings with the same anchor are kept
 together as one context.  An anchor that occurs once proves that its strings
-occur once; these are left out.  Of all other anchors the distinct contexts
-are fetched as text and put in order.
+occur once.  Contexts are compared by SHA-256: where an anchor always has the
+same context, all its strings repeat.  Of all other anchors the distinct
+contexts are fetched as text and put in order.
 
 The contexts form collections whose Burrows-Wheeler transform and common
 prefixes are built column by column: each round inserts one symbol of every
@@ -22,10 +23,6 @@ one symbol.  A string of bytes is repeated where a suffix shares 400 bytes with
 a neighbour in the order; a passage where an interval of suffixes that share 51
 words has more than one document.
 
-Contexts are told apart by two 64-bit hashes.  When the results come back to
-the documents, each context is held against the SHA-256 of the one that stood
-for it, so a collision raises an error and never removes anything.
-
 An anchor with more than ``GROUP_ROWS`` distinct contexts (a passage quoted
 everywhere) is split: the strings of a context that start in the same slot
 before the anchor become a context of their own, whose anchor is all that these
@@ -35,8 +32,7 @@ ones are one row.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing;
 matches never cross documents; repeated rows are copies of each other, so all
-their strings repeat, but rows that repeat both id and text are one document
-for passages; overlapping strings count; texts of any length are read whole; an
+their strings repeat; overlapping strings count; texts of any length are read whole; an
 empty table gives an empty result; other columns are ignored, whatever their
 names.
 """
@@ -154,37 +150,50 @@ def words_in(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return begin, end, hashes
 
 
-def _anchored(one: np.ndarray, two: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one anchor: first start, last start, the anchor's hash, the context's hash, the anchor's place in the context."""
-    first, second = _hash_pair()
-    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)]
-    for at in range(0, len(one) - length + 1, _PART):
-        sums = first.sums(one[at : at + _PART + length - 1])
-        hashes = first.rolling(sums, anchor)
+def _anchored(values: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one anchor: first start, last start, the anchor's hash, the anchor's place in the context."""
+    first = _hash_pair()[0]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for at in range(0, len(values) - length + 1, _PART):
+        hashes = first.rolling(first.sums(values[at : at + _PART + length - 1]), anchor)
         keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
         place = (_sliding_min(keyed, length - anchor + 1) & _POSITION).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([begin[1:], [len(place)]]) - 1
-        whole = second.of(second.sums(two[at : at + _PART + length - 1]), begin, last + length)
-        out.append((begin + at, last + at, hashes[place[begin]], whole, place[begin] - begin))
+        out.append((begin + at, last + at, hashes[place[begin]], place[begin] - begin))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _digests(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the SHA-256 of each part of a text."""
+    sha = hashlib.sha256
+    whole = b"".join([sha(data[a:b]).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(whole, np.int64)[::4]
+
+
+_UNEVEN = re.compile(rb"[\x09-\x0D]|\x20\x20")
 _PER_CONTEXT = ("first", "last", "anchor", "context", "place", "tail")
 
 
 def contexts(data: bytes, length: int, anchor: int, passage: int, passage_anchor: int) -> tuple[np.ndarray, ...]:
-    """Contexts of both kinds: first byte, last byte less ``length``, anchor (its lowest bit is the kind), context hash, place of the anchor and last start (units of the context)."""
+    """Contexts of both kinds: first byte, last byte less ``length``, anchor (its lowest bit is the kind), digest of its bytes or words, place of the anchor and last start (units of the context)."""
     raw = np.frombuffer(data, np.uint8)
-    first, second = _hash_pair()
     found = []
     if len(raw) >= length:
-        begin, last, anchors, whole, place = _anchored(first.table[raw], second.table[raw], length, anchor)
-        found.append((begin, last, anchors & ~np.uint64(1), whole, place, last - begin))
+        begin, last, anchors, place = _anchored(_hash_pair()[0].table[raw], length, anchor)
+        found.append((begin, last, anchors & ~np.uint64(1), _digests(data, begin, last + length), place, last - begin))
     begin, end, hashes = words_in(raw, data)
     if len(hashes) >= passage:
-        a, b, anchors, whole, place = _anchored(hashes, _mix(hashes), passage, passage_anchor)
-        found.append((begin[a], end[b + passage - 1] - length, anchors | np.uint64(1), whole, place, b - a))
+        a, b, anchors, place = _anchored(hashes, passage, passage_anchor)
+        at, to = begin[a], end[b + passage - 1]
+        if _UNEVEN.search(data):  # words are compared with one blank between them
+            even = b" ".join(data.split())
+            sizes = end - begin + 1
+            ends = np.cumsum(sizes) - 1
+            digests = _digests(even, ends[a] - sizes[a] + 1, ends[b + passage - 1])
+        else:
+            digests = _digests(data, at, to)
+        found.append((at, to - length, anchors | np.uint64(1), digests, place, b - a))
     if not found:
         return (np.zeros(0, np.int64),) * len(_PER_CONTEXT)
     return tuple(np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
@@ -478,13 +487,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), key.alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
 
 
-def digest_of(kind: int, data: bytes) -> bytes:
-    """16 bytes of the SHA-256 of a context: of its bytes, or of its words."""
-    return hashlib.sha256(b" ".join(data.split()) if kind == WORDS else data).digest()[:16]
-
-
-def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """(k1, k2, first, last, anchor, digest, runs): the repeated strings of the contexts that have any.
+def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """The repeated strings as (doc, first, last, anchor, tail, runs), one row for each context that has any, and the keys (doc, k1, k2).
 
     A context holds the bytes from ``first`` to ``last + length``; a run has the
     first and last unit of the context from which strings repeat.
@@ -502,33 +506,33 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     lists = ", ".join(f"{name} array<bigint>" for name in _PER_CONTEXT)
     least = min(length, 2 * passage - 1)
     per_doc = keyed.where(F.octet_length("data") >= least).select("k1", "k2", "data").mapInArrow(find, f"k1 bigint, k2 bigint, {lists}")
-    per_doc = materialize(per_doc, "contexts")
-    rows = per_doc.select("k1", "k2", F.inline(F.arrays_zip(*_PER_CONTEXT)))
-    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).where(f"n > 1 AND ({_IS_BYTES} OR lo <> hi)")
-    several = materialize(several.select("anchor"), "anchors")
+    per_doc = materialize(per_doc.withColumn("doc", F.monotonically_increasing_id()), "contexts")
+    keys = per_doc.select("doc", "k1", "k2")
+    rows = per_doc.select("doc", F.inline(F.arrays_zip(*_PER_CONTEXT)))
+    ends = [F.min("context").alias("c1"), F.max("context").alias("c2"), F.min("doc").alias("lo"), F.max("doc").alias("hi")]
+    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).where(f"n > 1 AND ({_IS_BYTES} OR lo <> hi)")
+    several = materialize(several.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "anchors")
     rows = materialize(rows.join(several, "anchor"), "instances")
+    out = ["doc", "first", "last", "anchor", "tail"]
+    settled = rows.where("NOT mixed").select(*out, F.array(F.struct(F.lit(0).alias("first"), F.col("tail").cast("int").alias("last"))).cast(_RUNS).alias("runs"))
+    mixed = rows.where("mixed")
 
     # One instance stands for each distinct context; its text is fetched.
-    pick = F.struct("k1", "k2", "first", "last", "place", "tail")
-    distinct = rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min(pick).alias("at"))
+    pick = F.struct("doc", "first", "last", "place", "tail")
+    distinct = mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(pick).alias("at"))
     distinct = _with_rows(materialize(distinct, "distinct"))
-    wanted = distinct.select("at.k1", "at.k2", F.struct("anchor", "context", "n", "lo", "hi", "rows", "at.first", "at.last", "at.place", "at.tail").alias("c"))
-    wanted = materialize(wanted.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs")), "wanted")
+    wanted = distinct.select("at.doc", F.struct("anchor", "context", "n", "lo", "hi", "rows", "at.first", "at.last", "at.place", "at.tail").alias("c"))
+    wanted = materialize(wanted.groupBy("doc").agg(F.collect_list("c").alias("cs")).join(keys, "doc").select("k1", "k2", "cs"), "wanted")
     source = keyed.select("k1", "k2", "data").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
     cut = F.explode(F.transform("cs", lambda c: F.struct(
         *[c[name].alias(name) for name in ("anchor", "context", "n", "lo", "hi", "rows")], *[c[name].cast("int").alias(name) for name in ("place", "tail")],
         F.substring(F.col("data"), (c["first"] + 1).cast("int"), (c["last"] - c["first"] + length).cast("int")).alias("data"),
     )))
-    texts = source.select(cut.alias("c")).select("c.*")
-    words = F.regexp_replace(F.col("data").cast("string"), r"[\x20\x09-\x0D]+", " ").cast("binary")
-    digest = F.unhex(F.left(F.sha2(F.when(F.expr(_IS_BYTES), F.col("data")).otherwise(words), 256), F.lit(32)))
-    texts = texts.withColumns({"digest": digest, "data": F.when(F.col("rows") > 1, F.col("data"))})  # one alone needs no order
     # A document that is there more than once gives its contexts as often; one of each stays.
-    kept = [F.first(name).alias(name) for name in (*_names(_CONTEXT)[2:], "rows", "digest")]
-    texts = materialize(texts.groupBy("anchor", "context").agg(*kept), "texts")
-    results = _repeats_in(texts.drop("digest"), spans).join(texts.select("anchor", "context", "digest"), ["anchor", "context"])
-    results = materialize(results, "resolved")
-    return rows.join(results, ["anchor", "context"]).select("k1", "k2", "first", "last", "anchor", "tail", "digest", "runs")
+    kept = [F.first(name).alias(name) for name in (*_names(_CONTEXT)[2:], "rows")]
+    texts = materialize(source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(*kept), "texts")
+    results = materialize(_repeats_in(texts, spans), "resolved")
+    return settled.unionByName(mixed.join(results, ["anchor", "context"]).select(*out, "runs")), keys
 
 
 _CONTEXT = "anchor bigint, context bigint, n bigint, lo bigint, hi bigint, place int, tail int, data binary"
@@ -631,34 +635,26 @@ def _covered(found: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-class CollisionError(RuntimeError):
-    """Two different contexts with the same hashes: never seen, but nothing may be removed by it."""
-
-
 def spans_in(data: bytes, rows: Sequence[tuple], length: int, passage: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Byte spans of a text's repeated strings, and of its passages, from its contexts (first, last, anchor, tail, digest, runs)."""
+    """Byte spans of a text's repeated strings, and of its passages, from its contexts (first, last, anchor, tail, runs)."""
     removed, passages = [], []
-    for at, last, anchor, tail, digest, runs in rows:
-        kind = anchor & 1
-        context = data[at : last + length]
-        if digest_of(kind, context) != digest:
-            raise CollisionError(f"contexts of anchor {anchor} differ")
-        if kind == BYTES:
+    for at, last, anchor, tail, runs in rows:
+        if anchor & 1 == BYTES:
             removed += [(at + a, at + b + length) for a, b in runs]
         elif runs == [(0, tail)]:
             passages.append((at, last + length))
         else:
-            words = [m.span() for m in _WORD.finditer(context)]
-            passages += [(at + words[a][0], at + words[b + passage - 1][1]) for a, b in runs]
+            words = [m.span() for m in _WORD.finditer(data, at, last + length)]
+            passages += [(words[a][0], words[b + passage - 1][1]) for a, b in runs]
     return _covered(removed), _covered(passages)
 
 
 def _rows_of(lists: pa.ListArray) -> list[list[tuple]]:
     """The contexts of each document as tuples, without a Python dictionary for each."""
-    first, last, anchor, tail, digest, runs = lists.values.flatten()
+    *plain, runs = lists.values.flatten()
     edges, values = runs.offsets.to_pylist(), [x.to_pylist() for x in runs.values.flatten()]
     pairs = list(zip(*values, strict=True))
-    flat = list(zip(*(x.to_pylist() for x in (first, last, anchor, tail, digest)), [pairs[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+    flat = list(zip(*(x.to_pylist() for x in plain), [pairs[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
     cuts = lists.offsets.to_pylist()
     return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -676,9 +672,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     unless the first rule removes them.
     """
     keyed = _keyed(docs, id_col, text_col)
-    runs = repeated_runs(keyed, length, passage)
-    per_doc = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "anchor", "tail", "digest", "runs")).alias("rs"))
-    per_doc = materialize(per_doc, "removed")
+    runs, keys = repeated_runs(keyed, length, passage)
+    per_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "anchor", "tail", "runs")).alias("rs"))
+    once = keys.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))  # rows with one key have the same text, and so the same repeats
+    per_doc = materialize(per_doc.join(once, "doc").select("k1", "k2", "rs"), "removed")
     joined = keyed.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "data", "rs")
     fields = [("n_bytes", T.LongType()), ("spans", SPANS), ("kept", T.BinaryType()), ("passages", SPANS), ("n_passage_words", T.LongType())]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, t) for n, t in fields]])
