@@ -57,7 +57,7 @@ LENGTH = 400
 #: Bytes of an anchor for strings of 400 bytes; in proportion for others.
 ANCHOR = 240
 #: Words of a passage, and of its anchor; in proportion for others.
-PASSAGE, PASSAGE_ANCHOR = 51, 12
+PASSAGE, PASSAGE_ANCHOR = 51, 8
 #: Distinct contexts of one anchor beyond which it is split, and into how many slots at a time.
 GROUP_ROWS = 256
 SLOTS = 4
@@ -74,10 +74,9 @@ _POSITION = np.uint64((1 << 18) - 1)
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class RollingHash:
@@ -320,12 +319,16 @@ def _shared(left: bytes, right: bytes, limit: int, back: bool) -> int:
     return lo
 
 
-def _numbered(rows: Sequence[Sequence]) -> list[np.ndarray]:
-    """Units as symbols from 2 on: bytes by value, words by their number among those of the group."""
-    if isinstance(rows[0], bytes):
-        return [np.frombuffer(r, np.uint8).astype(np.uint16) + 2 for r in rows]
+def _numbered(heads: Sequence[Sequence], tails: Sequence[Sequence]) -> list[np.ndarray]:
+    """Symbols of each context: 1 for what all share, between its head and its tail; bytes from 2 on by value, words by their number among those of the group."""
+    if isinstance(heads[0], bytes):
+        as_one = [np.frombuffer(h + b"\0" + t, np.uint8).astype(np.uint16) + 2 for h, t in zip(heads, tails, strict=True)]
+        for symbols, h in zip(as_one, heads, strict=True):
+            symbols[len(h)] = 1
+        return as_one
     number: dict[bytes, int] = {}
-    return [np.array([number.setdefault(w, len(number) + 2) for w in r], np.uint16) for r in rows]
+    code = lambda units: [number.setdefault(w, len(number) + 2) for w in units]
+    return [np.array([*code(h), 1, *code(t)], np.uint16) for h, t in zip(heads, tails, strict=True)]
 
 
 def _reach(rows: np.ndarray, common: np.ndarray, documents: np.ndarray) -> np.ndarray:
@@ -354,7 +357,7 @@ def repeated_starts(groups: Sequence[Sequence[tuple]], length: int, anchor: int,
         by_end = sorted(x[::-1] for x in lefts)
         left = _shared(by_end[0], by_end[-1], length, False)
         right = _shared(min(rights), max(rights), length, False)
-        symbols = [np.concatenate([n[: p - left], [1], n[p + anchor + right :]]) for n, (_, p, *_) in zip(_numbered([r[0] for r in rows]), rows, strict=True)]
+        symbols = _numbered([x[: len(x) - left] for x in lefts], [x[right:] for x in rights])
         used, dense = np.unique(np.concatenate(symbols), return_inverse=True)  # a dense alphabet keeps the sort key in 16 bits
         symbols = np.split((dense + 1).astype(np.uint16), np.cumsum([len(x) for x in symbols])[:-1])
         prepared.append((symbols, left, left + anchor + right, len(used) + 1))
@@ -419,6 +422,8 @@ def _runs(starts: np.ndarray) -> list[dict]:
     """Starts as runs (first, last)."""
     if not len(starts):
         return []
+    if starts[-1] - starts[0] == len(starts) - 1:
+        return [{"first": int(starts[0]), "last": int(starts[-1])}]
     cut = np.flatnonzero(np.diff(starts) > 1)
     first = starts[np.concatenate([[0], cut + 1])]
     last = starts[np.concatenate([cut, [len(starts) - 1]])]
@@ -512,7 +517,7 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     ends = [F.min("context").alias("c1"), F.max("context").alias("c2"), F.min("doc").alias("lo"), F.max("doc").alias("hi")]
     several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).where(f"n > 1 AND ({_IS_BYTES} OR lo <> hi)")
     several = materialize(several.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "anchors")
-    rows = materialize(rows.join(several, "anchor"), "instances")
+    rows = materialize(rows.join(several.hint("shuffle_hash"), "anchor"), "instances")
     out = ["doc", "first", "last", "anchor", "tail"]
     settled = rows.where("NOT mixed").select(*out, F.array(F.struct(F.lit(0).alias("first"), F.col("tail").cast("int").alias("last"))).cast(_RUNS).alias("runs"))
     mixed = rows.where("mixed")
@@ -532,7 +537,7 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     kept = [F.first(name).alias(name) for name in (*_names(_CONTEXT)[2:], "rows")]
     texts = materialize(source.select(cut.alias("c")).select("c.*").groupBy("anchor", "context").agg(*kept), "texts")
     results = materialize(_repeats_in(texts, spans), "resolved")
-    return settled.unionByName(mixed.join(results, ["anchor", "context"]).select(*out, "runs")), keys
+    return settled.unionByName(mixed.join(results.hint("shuffle_hash"), ["anchor", "context"]).select(*out, "runs")), keys
 
 
 _CONTEXT = "anchor bigint, context bigint, n bigint, lo bigint, hi bigint, place int, tail int, data binary"
