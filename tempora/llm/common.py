@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A private folder is made only where the setting is absent, as in local tests.
+    A private folder is made only where the setting is absent and all runs in
+    this process, as in tests; on a cluster the setting is needed.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         import atexit
@@ -79,6 +83,14 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` lacks (whatever the case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 TextFn = Callable[[list], Sequence[Sequence]]
 
 
@@ -99,7 +111,7 @@ def map_text(
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
     position = {c: i for i, c in enumerate(keep)}
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh(df, "__text")))
     schema = T.StructType([source.schema[c] for c in keep] + list(fields))
     from pyspark.sql.pandas.types import to_arrow_type
 

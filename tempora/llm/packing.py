@@ -11,9 +11,9 @@ of that length.  Ranks come from counts per (input part, length), so no group
 of equal lengths, however large, meets in one task.
 
 Defined cases: null text counts as empty; an empty document is the end id
-alone; equal lengths are ranked by input part and place in it; repeated rows
+alone; texts of any length are read whole and cut into pieces; equal lengths are ranked by input part and place in it; repeated rows
 are packed once each; an empty table gives an empty result; other columns of
-the input are ignored.
+the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ class WordEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def _core(self, word: bytes) -> bytes | None:
-        """Ids of a word of letters only; None if it needs the whole tokenizer."""
+        """Ids of a word that the normaliser leaves as it is and that has letters only; None if it needs the whole tokenizer."""
         text = word.decode()
         if not text.isalpha():
             return None
@@ -72,15 +72,12 @@ class WordEncoder:
         return np.asarray([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
     def _miss(self, word: bytes) -> bytes:
+        """Ids of a word that the cache lacks; they depend on the word alone, never on what is cached."""
         cache = self.cache
         ids = None
         if word[-1:] in (b".", b",") and len(word) > 1:
-            core = cache.get(word[:-1])
-            if core is None:
-                core = self._core(word[:-1])
-                if core is not None and len(word) <= CACHE_WORD_BYTES:
-                    cache[word[:-1]] = core
-            if core is not None and word[:-1].decode().isalpha():
+            core = self._core(word[:-1])  # only then is the mark a token of its own
+            if core is not None:
                 end = cache.get(word[-1:])
                 if end is None:
                     end = cache[word[-1:]] = self._slow([word[-1:]])[0]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, map_text
+from tempora.llm.common import field, fresh, map_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "local_phone")
@@ -198,8 +198,9 @@ def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str
 
         return run
 
-    fields = [field(text_col, T.StringType()), field("__length", T.LongType())]
+    length = fresh(docs, "__length")
+    fields = [field(text_col, T.StringType()), field(length, T.LongType())]
     out = map_text(docs, text_col, make, fields, docs.columns)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.col("__length").cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn(length_col, F.col(length).cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

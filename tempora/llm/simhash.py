@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, map_text, materialize, stored_bytes
+from tempora.llm.common import field, fresh, map_text, materialize, stored_bytes
 
 BITS = 64
 SEED = 42
@@ -356,21 +356,23 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     an id stay.
     """
     found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), "found")
-    per_id = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
-    fate = per_id.agg(F.count(F.lit(1)).alias("__n"), F.max(F.col(id_col) == F.col("component_id")).alias("__stays"))
-    gone = materialize(fate.where("NOT __stays").select("__id"), "gone")
-    repeated = materialize(fate.where("__stays AND __n > 1").select("__id"), "repeated")
-    kept = docs.join(_listed(gone), docs[id_col] == F.col("__id"), "left_anti")
+    found = found.toDF("id", "fp", "label", "component_id")
+    own_id, own_fp, group = fresh(docs, "__id"), fresh(docs, "__fp"), fresh(docs, "__component")
+    ident = F.col(f"`{id_col}`")
+    fate = found.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == F.col("component_id")).alias("stays"))
+    gone = materialize(fate.where("NOT stays").select(F.col("id").alias(own_id)), "gone")
+    repeated = materialize(fate.where("stays AND n > 1").select(F.col("id").alias(own_id)), "repeated")
+    kept = docs.join(_listed(gone), ident == F.col(own_id), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(_listed(repeated), kept[id_col] == F.col("__id"), "left_anti")
-    many = kept.join(_listed(repeated), kept[id_col] == F.col("__id"), "left_semi")
+    once = kept.join(_listed(repeated), ident == F.col(own_id), "left_anti")
+    many = kept.join(_listed(repeated), ident == F.col(own_id), "left_semi")
 
     def make():
         return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
     # Rows of one id may have different texts, so each is judged by its own fingerprint.
-    many = map_text(many, text_col, make, [field("__fp", T.LongType())], docs.columns)
-    own = found.select(F.col(id_col).alias("__id"), F.col("fp").alias("__f"), "label", "component_id").where("component_id = __id").select("__id", "__f", F.col("label").alias("__c")).distinct()
-    many = many.join(own, (many[id_col] == own["__id"]) & (many["__fp"] == own["__f"])).dropDuplicates([id_col, "__c"])
-    return once.unionByName(many.select(*docs.columns))
+    many = map_text(many, text_col, make, [field(own_fp, T.LongType())], docs.columns)
+    own = found.where("component_id = id").select(F.col("id").alias(own_id), F.col("fp").alias(f"{own_fp}_"), F.col("label").alias(group)).distinct()
+    many = many.join(own, (ident == F.col(own_id)) & (F.col(own_fp) == F.col(f"{own_fp}_"))).dropDuplicates([id_col, group])
+    return once.unionByName(many.select(*[F.col(f"`{c}`") for c in docs.columns]))

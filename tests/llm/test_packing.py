@@ -78,6 +78,22 @@ def test_word_cache_gives_the_tokenizers_ids():
     assert mine.encode(None) == b""
 
 
+def test_ids_do_not_depend_on_what_was_seen_before():
+    """Bare words first, then with a mark, and the other way round: always the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    alphabet = ["a", "b", "Z", "é", "É", "ß", "İ", "ı", "ﬁ", "ǅ", "Å", "9", "-", "中", "ग", "ढ", "़", *map(chr, range(0x958, 0x960))]
+    bare = ["İ", "ABİ", "गढ़", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5))) for _ in range(4000))]
+    words = [w + mark for w in bare for mark in ("", ".", ",", "..", ".,")]
+    want = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, whole.encode_batch(words, add_special_tokens=False), strict=True)}
+    for order in (words, words[::-1]):
+        mine = packing.WordEncoder(path)
+        assert [w for w in order if mine.encode(w) != want[w]] == []
+
+
 def test_documents_are_packed_whole(documents):
     from tokenizers import Tokenizer
 
