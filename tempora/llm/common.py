@@ -83,6 +83,18 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def bounded_sample(rows: DataFrame, limit: int, total: int, key: str = "sample_key") -> DataFrame:
+    """At most ``limit`` rows with different values of the hash column ``key``, about evenly from ``total`` rows.
+
+    Rows that repeat a key count once, so a repeated or null id never fills the
+    sample; the smallest keys are taken, so the sample does not depend on the
+    order of rows.  Only about ``limit`` rows leave the tasks.
+    """
+    share = min(1.0, 1.2 * limit / max(1, total))
+    upto = int(2**63 * (2 * share - 1)) if share < 1 else 2**63 - 1
+    return rows.where(F.col(key) <= F.lit(upto)).dropDuplicates([key]).orderBy(key).limit(limit)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` lacks (whatever the case of letters)."""
     taken = {c.lower() for c in df.columns}

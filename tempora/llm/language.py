@@ -7,26 +7,28 @@ for prediction the filters are folded into two tables indexed by symbol pairs.
 Every window of every text is scored; a text's log-probabilities are the mean
 over its windows, weighted by the letters in them.
 
-The network learns from a bounded sample: about ``per_language`` documents of
-each language chosen by a hash of the id, and at most ``WINDOWS_PER_TEXT``
-windows from each, spread over the whole text.  All languages are learned; the
-network and its sample grow with their number.
-
-Defined cases: null text and text without letters give ``und`` with score 0;
-null labels are never learned; without any labelled row all is ``und``; one
-learned language is always predicted; repeated rows each get their own result;
+The network learns from a bounded sample: at most ``per_language`` documents of
+each language chosen by a hash of id and text, and at most
+``windows_per_text`` windows from each, spread over the whole text.  All
+languages are learned; the network and its sample grow with their number.
+
+Defined cases: null text and text without letters (Unicode category L) give
+``und`` with score 0; null labels are never learned; without any labelled row
+all is ``und``; one learned language is always predicted; rows that repeat id
+and text are learned once and each get their own result; texts of any length
+are predicted from all their windows; an empty table gives an empty result;
 other columns never matter.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +37,6 @@ from tempora.llm.common import field, map_text
 WINDOW = 128
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-WINDOWS_PER_TEXT = 8
 UNDETERMINED = "und"
 #: A small sample is gone through more often, up to so many steps.
 LEAST_STEPS = 250
@@ -45,7 +46,7 @@ BATCH_WINDOWS = 96
 BATCH_SCORES = 1 << 23
 _HASH_RANGE = 1 << 30
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _alphabet() -> np.ndarray:
@@ -157,16 +158,20 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: Sequence[str], *, epo
     return net
 
 
-def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> ByteConvNet:
-    """Train on about ``per_language`` of the rows of each language for which ``learnable`` holds."""
-    rows = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, windows_per_text: int = 8) -> ByteConvNet:
+    """Train on at most ``per_language`` different rows of each language for which ``learnable`` holds, ``windows_per_text`` windows from each."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.where(learnable).select(F.xxhash64(ident, text).alias("key"), text.alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
     if not counts:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
-    limits = [(r["lang"], int(_HASH_RANGE * min(1.0, per_language / r["n"]))) for r in counts]
+    limits = [(r["lang"], int(_HASH_RANGE * min(1.0, 1.2 * per_language / r["n"]))) for r in counts]
     limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, upto long"))
-    sample = rows.join(limit, "lang").where(F.pmod(F.xxhash64("id"), F.lit(_HASH_RANGE)) < F.col("upto")).select("lang", "text")
+    # About 1.2 times as many rows as wanted leave the tasks; rows that repeat id and text count once.
+    near = rows.join(limit, "lang").where(F.pmod("key", F.lit(_HASH_RANGE)) < F.col("upto")).dropDuplicates(["lang", "key"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(_HASH_RANGE)), "key"))
+    sample = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
                 if not _LETTER.search(text):
                     continue
                 found = windows_of(text)
-                for i in np.unique(np.linspace(0, len(found) - 1, WINDOWS_PER_TEXT).astype(int)):
+                for i in np.unique(np.linspace(0, len(found) - 1, windows_per_text).astype(int)):
                     names.append(lang)
                     cuts.append(found[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cuts, pa.binary())], names=["lang", "window"])

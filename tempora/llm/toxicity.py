@@ -4,17 +4,21 @@ P(grade >= k) = sigmoid(w . x - threshold_k): the weights are shared by all
 grades and the thresholds are ordered.  Features are the distinct words of a
 text and their prefixes of 4, 5 and 6 bytes, hashed to ``BUCKETS``; only
 buckets that are associated with toxic texts (G-test and lift) get a weight.  Labels say
-toxic or not; among toxic texts the grade (1 to 3) is the number of distinct
-words with an associated feature, so the model learns how much there is of it.
-The expected severity is the mean grade.
+toxic or not, so the grades of toxic texts are made here: a text of one
+half of the sample has grade 1 to 3 by the number of its distinct words with a
+feature that the other half associates with toxic texts.  They grade how much
+there is of it and are no human judgement of severity.  The expected severity
+is the mean grade.
 
-Training takes about ``per_class`` labelled documents of each class, chosen by
-a hash of the id; scoring covers every whole text.
+Training takes at most ``per_class`` labelled documents of each class, chosen
+by a hash of the id; scoring covers every whole text.
 
 Defined cases: null and empty text have no features and get the model's base
 severity; null labels are ignored; repeated label rows count as toxic if one
-of them is; without toxic labels every severity is 0; repeated documents each
-get their own result; other columns pass or are ignored.
+of them is; of rows that repeat a labelled id one text is learned; without
+toxic labels every severity is 0; repeated documents each get their own result;
+texts of any length are read whole; an empty table gives an empty result; other
+columns pass or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, filter_texts, map_text
+from tempora.llm.common import bounded_sample, field, filter_texts, map_text
 from tempora.llm.decontaminate import words_of
 
 BUCKETS = 1 << 20
@@ -44,7 +48,6 @@ MIN_LIFT = 20.0
 #: Probability of grade 1 or more from which a text counts as toxic.
 REJECT_FROM = 0.5
 CACHE_WORDS = 300_000
-_HASH_RANGE = 1 << 30
 
 
 def word_features(word: bytes) -> list[int]:
@@ -72,22 +75,35 @@ class OrdinalModel:
 NEUTRAL = OrdinalModel({}, np.array([40.0] * (GRADES - 1)))
 
 
-def train(rows: Sequence[np.ndarray], toxic: np.ndarray, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> OrdinalModel:
-    """Fit the model; rows[i] is (words, up to 4) buckets, padded with -1."""
-    toxic = np.asarray(toxic, bool)
+def associated(rows: Sequence[np.ndarray], toxic: np.ndarray, least: float = MIN_G) -> np.ndarray:
+    """Buckets that toxic texts have far more often than others; rows[i] is a text's distinct buckets."""
     if not toxic.any() or toxic.all():
-        return NEUTRAL
-    distinct = [np.unique(r[r >= 0]) for r in rows]
-    count = lambda pick: np.bincount(np.concatenate([distinct[i] for i in np.flatnonzero(pick)]), minlength=BUCKETS).astype(float)
+        return np.zeros(0, np.int64)
+    count = lambda pick: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(pick)]), minlength=BUCKETS).astype(float)
     with_feature, without = count(toxic), count(~toxic)
     share = toxic.mean()
     total = with_feature + without
     log = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9)), 0)
     g = 2 * (log(with_feature, total * share) + log(without, total * (1 - share)))
-    chosen = np.flatnonzero((g >= MIN_G) & (with_feature * (1 - share) >= MIN_LIFT * without * share))
+    return np.flatnonzero((g >= least) & (with_feature * (1 - share) >= MIN_LIFT * without * share))
+
+
+def train(rows: Sequence[np.ndarray], toxic: np.ndarray, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> OrdinalModel:
+    """Fit the model; rows[i] is (words, up to 4) buckets, padded with -1."""
+    toxic = np.asarray(toxic, bool)
+    if not toxic.any() or toxic.all():
+        return NEUTRAL
+    distinct = [np.unique(r[r >= 0]) for r in rows]
+    chosen = associated(distinct, toxic)
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
-    words = np.array([((column[np.maximum(r, 0)] >= 0) & (r >= 0)).any(axis=1).sum() if len(r) else 0 for r in rows])
+    words = np.zeros(len(rows), int)
+    half = np.arange(len(rows)) % 2 == 0
+    for graded in (half, ~half):  # by the features of the other half
+        there = np.zeros(BUCKETS, bool)
+        there[associated([distinct[i] for i in np.flatnonzero(~graded)], toxic[~graded], MIN_G / 2)] = True  # G grows with the rows
+        for i in np.flatnonzero(graded & toxic):
+            words[i] = (there[np.maximum(rows[i], 0)] & (rows[i] >= 0)).any(axis=1).sum() if len(rows[i]) else 0
     grade = np.where(toxic, 1 + sum((words >= s).astype(int) for s in GRADE_STEPS), 0)
     # A feature's value is the number of distinct words that have it.
     flat = [column[r[r >= 0]] for r in rows]
@@ -118,14 +134,17 @@ def train(rows: Sequence[np.ndarray], toxic: np.ndarray, *, steps: int = 400, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> OrdinalModel:
-    """Train on about ``per_class`` labelled documents of each class."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    """Train on at most ``per_class`` labelled documents of each class, one text for each id."""
+    label, ident, text = F.col(f"`{label_col}`"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    marked = labels.where(label.isNotNull() & ident.isNotNull()).groupBy(ident.alias("id")).agg(F.max((label > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return NEUTRAL
-    upto = F.when(F.col("toxic") == 1, int(_HASH_RANGE * min(1.0, per_class / counts[1]))).otherwise(int(_HASH_RANGE * min(1.0, per_class / counts[0])))
-    chosen = F.broadcast(marked.where(F.pmod(F.xxhash64("id"), F.lit(_HASH_RANGE)) < upto))  # about 2 * per_class rows
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(chosen, "id").select("id", "toxic", "text")
+    marked = marked.withColumn("sample_key", F.xxhash64("id"))
+    chosen = [bounded_sample(marked.where(F.col("toxic") == c), per_class, counts[c]) for c in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]).drop("sample_key"))  # at most 2 * per_class rows
+    sample = docs.select(ident.alias("id"), text.alias("text")).where("text IS NOT NULL").join(chosen, "id")
+    sample = sample.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # reduced before the shuffle
     width = 1 + len(PREFIXES)
 
     def run(batches):

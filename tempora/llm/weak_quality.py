@@ -29,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, map_text, materialize
+from tempora.llm.common import bounded_sample, field, map_text, materialize
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 BUCKETS = 1 << 14
 #: A document is kept from this probability on.
 KEEP_FROM = 0.5
 CACHE_WORDS = 200_000
-_HASH_RANGE = 1 << 30
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -202,7 +201,9 @@ class Features:
 
 
 def votes_and_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, pattern, buckets, shares."""
+    """One row per document: id, sample_key (a hash of id and text), pattern, buckets, shares."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    docs = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("sample_key"), text.alias("text"))
 
     def make():
         features = Features()
@@ -221,7 +222,7 @@ def votes_and_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return run
 
     fields = [field("pattern", T.IntegerType()), field("buckets", T.ArrayType(T.ShortType())), field("shares", T.ArrayType(T.FloatType()))]
-    return map_text(docs, text_col, make, fields, [id_col])
+    return map_text(docs, "text", make, fields, ["id", "sample_key"])
 
 
 def train_scorer(buckets: Sequence[np.ndarray], shares: Sequence[np.ndarray], target: np.ndarray, *, rounds: int = 300, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -246,8 +247,8 @@ def train_scorer(buckets: Sequence[np.ndarray], shares: Sequence[np.ndarray], ta
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
     """One row per document: id, pattern, posterior (of the votes), score (of the linear scorer), keep.
 
-    The scorer learns from about ``sample_rows`` documents chosen by a hash of
-    the id; votes are counted, and scores given, for all.
+    The scorer learns from at most ``sample_rows`` different documents chosen by
+    a hash of id and text; votes are counted, and scores given, for all.
     """
     spark = docs.sparkSession
     rows = materialize(votes_and_features(docs, id_col=id_col, text_col=text_col), "votes")
@@ -255,8 +256,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     patterns, counts = np.array([r["pattern"] for r in found], int), np.array([r["n"] for r in found])
     model = estimate(patterns, counts)
     posterior = dict(zip(patterns.tolist(), model.posterior(patterns).tolist(), strict=True))
-    upto = int(_HASH_RANGE * min(1.0, sample_rows / max(1, int(counts.sum()))))
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(_HASH_RANGE)) < upto).select("pattern", "buckets", "shares").toArrow()
+    sample = bounded_sample(rows.drop("id"), sample_rows, int(counts.sum())).select("pattern", "buckets", "shares").toArrow()
     order = sample.column(0).to_numpy()
     lists = [sample.column(k).combine_chunks() for k in (1, 2)]
     buckets, shares = ([x.values.to_numpy()[a:b] for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:], strict=True)] if len(x) else [] for x in lists)
@@ -272,4 +272,4 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame({"posterior": pattern.map(posterior).astype(float), "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
 
     out = rows.withColumn("__j", judge("pattern", "buckets", "shares"))
-    return out.select(id_col, "pattern", "__j.posterior", "__j.score", (F.col("__j.score") >= KEEP_FROM).alias("keep"))
+    return out.select(F.col("id").alias(id_col), "pattern", "__j.posterior", "__j.score", (F.col("__j.score") >= KEEP_FROM).alias("keep"))

@@ -139,3 +139,88 @@ def test_quality_defined_cases(documents):
 def test_statistics_of_odd_texts(text):
     stats = weak_quality.statistics(text, text.encode().split() if text else [])
     assert all(np.isfinite(v) for v in stats.values()) and 0 <= weak_quality.pattern_of(stats) < weak_quality.N_VOTES
+
+
+def test_samples_are_bounded_for_repeated_and_null_ids(spark):
+    from tempora.llm.common import bounded_sample
+
+    rows = spark.range(0, 200_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id")).alias("id"), F.lit("same").alias("text"))
+    keyed = rows.withColumn("sample_key", F.xxhash64("id", "text"))
+    got = bounded_sample(keyed, 500, 200_000).collect()
+    assert len(got) <= 500 and len({r.id for r in got}) == len(got)
+    different = rows.withColumn("sample_key", F.xxhash64("id", F.rand(1)))
+    assert bounded_sample(different, 500, 200_000).count() == 500
+    assert bounded_sample(keyed, 500, 10).count() == 500  # a wrong total never lets more through
+
+
+def test_models_learn_from_bounded_samples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weak_quality, "train_scorer", lambda b, s, t: seen.append(len(b)) or (np.zeros(weak_quality.BUCKETS), 0.0))
+    monkeypatch.setattr(language, "train", lambda w, n, names: seen.append(len(w)) or language.ByteConvNet.__new__(language.ByteConvNet))
+    monkeypatch.setattr(toxicity, "train", lambda rows, t: seen.append(len(rows)) or toxicity.NEUTRAL)
+    docs = spark.range(0, 30_000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    weak_quality.classify(docs, sample_rows=300)
+    language.fit(docs, F.lit(True), per_language=40, windows_per_text=2)
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")), per_class=50)
+    assert 250 <= seen[0] <= 300 and 40 <= seen[1] <= 80 and 80 <= seen[2] <= 100
+
+
+@pytest.mark.parametrize("text", ["½ ² Ⅷ ①", "12 .. 3", "___", "٣"])
+def test_no_letters_is_undetermined(documents, text):
+    net = language.train(np.zeros((0, language.WINDOW), np.uint8), np.zeros(0, int), ["a", "b"])
+    assert [r.lang_pred for r in language.predict(documents([(1, text)]), net).collect()] == ["und"]
+
+
+def test_prediction_equals_plain_convolution(documents):
+    """Brute force: every filter at every place of every window, without tables or batches."""
+    rng = np.random.default_rng(3)
+    net = language.train(np.zeros((0, language.WINDOW), np.uint8), np.zeros(0, int), ["a", "b", "c"])
+    for w in (*net.filters.values(), net.bias, net.out, net.out_bias):
+        w[...] = rng.normal(size=w.shape)
+    texts = ["Some words here. " * 40, "x", "ÄÖ ß 中文 " * 30, None]
+    got = language.predict(documents(list(enumerate(texts))), net).collect()
+    for r in got:
+        if texts[r.doc_id] is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total, weights = np.zeros(3), 0
+        for window in language.windows_of(texts[r.doc_id]):
+            pooled = []
+            for k, w in enumerate(language.WIDTHS):
+                spots = range(language.WINDOW - max(language.WIDTHS) + 1)
+                pooled.append(np.max([sum(net.filters[w][j][window[p + j]] for j in range(w)) for p in spots], axis=0) + net.bias[k * 16 : k * 16 + 16])
+            z = np.maximum(np.concatenate(pooled), 0) @ net.out + net.out_bias
+            weight = int((window > 2).sum())
+            total += weight * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+            weights += weight
+        mean = total / weights
+        p = np.exp(mean - mean.max())
+        assert r.lang_pred == "abc"[int(mean.argmax())] and abs(r.score - float(p.max() / p.sum())) < 1e-3
+
+
+def test_toxicity_scores_equal_brute_force(documents):
+    """Each word and prefix looked up by itself; probabilities from the formula."""
+    rng = random.Random(4)
+    rows, labels = made(120)
+    model = toxicity.OrdinalModel({f: rng.uniform(-1, 1) for w in ("vileword", "sun", "tree", "river") for f in toxicity.word_features(w.encode())}, np.array([0.1, 0.6, 1.5]))
+    for r in toxicity.score(documents(rows), model).collect():
+        total = 0.0
+        for word in set(dict(rows)[r.doc_id].split()):
+            total += sum(model.weights.get(f, 0.0) for f in toxicity.word_features(word.encode()))
+        p = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        parts = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        assert abs(r.severity - sum(p)) < 1e-9 and r.grade == int(np.argmax(parts)) and r.toxic == (p[0] >= 0.5)
+
+
+def test_posterior_equals_brute_force():
+    """Bayes' rule vote by vote."""
+    rng = np.random.default_rng(9)
+    m = len(weak_quality.LABELLERS)
+    model = weak_quality.LabelModel(0.7, rng.uniform(0.1, 0.9, (2, m)))
+    for pattern in rng.integers(0, weak_quality.N_VOTES, 50):
+        votes = weak_quality.votes_of(np.array([pattern]))[0]
+        chance = [0.3, 0.7]
+        for k, v in enumerate(votes):
+            for c in (0, 1):
+                chance[c] *= {weak_quality.ABSTAIN: 1.0, weak_quality.BAD: model.objects[c, k], weak_quality.GOOD: 1 - model.objects[c, k]}[int(v)]
+        assert abs(model.posterior(np.array([pattern]))[0] - chance[1] / sum(chance)) < 1e-9
