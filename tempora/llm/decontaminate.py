@@ -8,34 +8,38 @@ symbols are compared one by one.  Patterns of one length share tables.  Texts
 are cut into overlapping lanes whose positions advance together in numpy, so
 no position costs a Python step.
 
-The benchmark is collected in blocks of bounded size, and the documents pass
-through one narrow search for each block: nothing is shuffled, and no
-document's result depends on how many others share a passage.
+The benchmark is dealt into blocks of bounded size.  One block at a time is
+collected and broadcast, and the documents pass through one narrow search for
+it, in which each task builds the block's tables once.  With one block nothing
+is shuffled; with several, each pass writes what it found, and the hits of a
+document are merged.  No document's result depends on how many others share a
+passage.
 
 Defined cases: null text has no words; benchmark rows without words give no
 window; rows of one item id pool their windows; an item id that is null marks
 hits but is listed in no result; repeated document rows each get their own
-result; an empty benchmark leaves every document clean; other columns never
-matter.
+result; an empty benchmark leaves every document clean, an empty table gives
+an empty result; texts of any length are read whole; other columns never
+matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, filter_texts, map_text
+from tempora.llm.common import field, filter_texts, map_text, materialize
 
 WINDOW = 10
-#: Bytes of benchmark text in one block of patterns.
-BLOCK_BYTES = 8 << 20
-BLOCKS_IN_MEMORY = 8
+#: Bytes of benchmark text in one block of patterns: its tables take about 350 MB in a worker.
+BLOCK_BYTES = 4 << 20
 #: Search positions that advance together, and the longest lane in words.
 LANE_WORDS = 256
 
@@ -154,13 +158,15 @@ class Patterns:
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text, each collected on its own."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[Callable[[], list[tuple]]]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text: functions that collect one block each."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r["item"], r["text"]) for r in rows.where(part == k).collect()] for k in range(n)]
+    if n > 1:  # so that a block costs a scan of that block
+        rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark", ["block"])
+    pick = (lambda k: rows.where(F.col("block") == k)) if n > 1 else (lambda _: rows)
+    return [lambda k=k: [(r["item"], r["text"]) for r in pick(k).collect()] for k in range(n)]
 
 
 RUN = T.StructType([field("start", T.LongType()), field("end", T.LongType())])
@@ -176,25 +182,9 @@ def _merge(runs: list) -> list:
     return out
 
 
-def _share(docs: DataFrame, blocks: list) -> list:
-    """One broadcast for each block; a block's size is bounded."""
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
-
-
-def _searcher(shared: list, window: int):
-    """A search through all blocks; the tables of up to ``BLOCKS_IN_MEMORY`` blocks stay in memory."""
-    tables: dict[int, Patterns] = {}
-
-    def search(texts):
-        total = [(0, [], set()) for _ in texts]
-        for k, block in enumerate(shared):
-            patterns = tables.get(k) or Patterns(block.value, window)
-            if k < BLOCKS_IN_MEMORY:
-                tables[k] = patterns
-            total = [(n, a + runs, old | new) for (_, a, old), (n, runs, new) in zip(total, patterns.search(texts), strict=True)]
-        return total
-
-    return search
+def _searcher(shared, window: int):
+    """A search for the patterns of one block, whose tables are built once for each task."""
+    return Patterns(shared.value, window).search
 
 
 def find_contamination(
@@ -209,21 +199,52 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``keep`` and, for every whole text: n_words, hit_runs (word positions, end exclusive), items (sorted strings)."""
-    shared = _share(docs, benchmark_blocks(benchmark, item_col, benchmark_text_col, block_bytes))
-
-    def make():
-        search = _searcher(shared, window)
-
-        def run(texts):
-            total = search(texts)
-            counts = [n for n, _, _ in total]
-            runs = [[{"start": s, "end": e} for s, e in _merge(r)] for _, r, _ in total]
-            return [counts, runs, [sorted(i for i in items if i is not None) for _, _, items in total]]
-
-        return run
-
+    blocks = benchmark_blocks(benchmark, item_col, benchmark_text_col, block_bytes)
     fields = [field("n_words", T.LongType()), field("hit_runs", T.ArrayType(RUN)), field("items", T.ArrayType(T.StringType()))]
-    return map_text(docs, text_col, make, fields, keep)
+
+    def search(df: DataFrame, text: str, shared, kept: Sequence[str]) -> DataFrame:
+        def make():
+            found = _searcher(shared, window)
+
+            def run(texts):
+                total = found(texts)
+                runs = [[{"start": s, "end": e} for s, e in r] for _, r, _ in total]
+                return [[n for n, _, _ in total], runs, [sorted(i for i in items if i is not None) for _, _, items in total]]
+
+            return run
+
+        return map_text(df, text, make, fields, kept)
+
+    context = docs.sparkSession.sparkContext
+    if len(blocks) == 1:
+        return search(docs, text_col, context.broadcast(blocks[0]()), keep)
+
+    # Rows with the same text have the same hits, so the text's hash is the key.
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
+    parts = []
+    for k, block in enumerate(blocks):
+        shared = context.broadcast(block())
+        found = search(keyed, "text", shared, ["k1", "k2"])
+        parts.append(materialize(found if k == 0 else found.where("size(hit_runs) > 0"), "hits"))
+        shared.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hit_runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def merge(batches):
+        run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            merged = [[{"start": s, "end": e} for s, e in _merge([(r["start"], r["end"]) for r in rows])] for rows in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(merged, run_type), batch.column(4)], names=["k1", "k2", "n_words", "hit_runs", "items"])
+
+    schema = T.StructType([field("k1", T.LongType()), field("k2", T.LongType()), *fields])
+    every = every.select("k1", "k2", "n_words", "runs", "items").mapInArrow(merge, schema)
+    names = {f.name for f in fields}
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)], F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+    joined = rows.join(every, ["k1", "k2"])
+    return joined.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c not in names], *[f.name for f in fields])
 
 
 def items_sha256(items: Sequence[str]) -> str:
@@ -238,12 +259,21 @@ def drop_contaminated(
     item_col: str = "item_id",
     benchmark_text_col: str = "text",
     window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    shared = _share(docs, benchmark_blocks(benchmark, item_col, benchmark_text_col))
-
-    def make():
-        search = _searcher(shared, window)
-        return lambda texts: [not runs for _, runs, _ in search(texts)]
-
-    return filter_texts(docs, text_col, make)
+    """The documents in which no benchmark window occurs, with all their columns: one narrow pass for each block."""
+    blocks = benchmark_blocks(benchmark, item_col, benchmark_text_col, block_bytes)
+
+    def keep(df: DataFrame, shared) -> DataFrame:
+        def make():
+            search = _searcher(shared, window)
+            return lambda texts: [not runs for _, runs, _ in search(texts)]
+
+        return filter_texts(df, text_col, make)
+
+    context = docs.sparkSession.sparkContext
+    for block in blocks[:-1]:
+        shared = context.broadcast(block())
+        docs = materialize(keep(docs, shared), "clean")
+        shared.destroy()
+    return keep(docs, context.broadcast(blocks[-1]()))

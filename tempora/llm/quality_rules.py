@@ -5,29 +5,35 @@ for each rule.  A policy is a version name, a mask of rules and the number of
 failed rules from which a text is rejected; a bit outside the mask never
 counts.  Ablations (what a policy would keep without one of its rules) come
 from counts per distinct bit pattern, of which there are at most two to the
-number of rules, so texts are read once however many policies are compared.
+number of rules.  ``stored_ledger`` writes the ledger once; policies and
+ablations read that small table, so texts are read once however many versions
+are compared.
 
 Defined cases: null text has no words and zero measurements; an empty or blank
 text likewise; a text shorter than the window has no repeated words; repeated
-rows each get their own result; texts of any length are measured whole; other
+rows each get their own result; texts of any length are measured whole, and by
+the same rules; an empty table gives an empty ledger, and ablations of zeros;
+where a policy rejects nothing, ``or_bits`` and ``and_bits`` are 0; other
 columns never matter.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm.common import field, map_text
+from tempora.llm.common import field, map_text, materialize
 
 WINDOW = 8
+#: Distinct words are counted in blocks of so many words, so that long texts are held to the same share.
+VARIETY_BLOCK = 1000
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_chars_total", "n_distinct_words")
 
@@ -40,7 +46,7 @@ RULES = {
     "many_symbols": "10 * n_symbols > n_words",
     "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
     "few_letters": "100 * n_letters < 50 * n_chars_total",
-    "little_variety": "100 * n_distinct_words < 10 * n_words AND n_words < 2000",
+    "little_variety": "100 * n_distinct_words < 10 * n_words",
 }
 BASE_RULES = ("too_few_words", "repeated_windows")
 
@@ -63,7 +69,7 @@ POLICIES = (
 PRODUCTION = POLICIES[1]
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACES = bytes([9, 10, 11, 12, 13, 32])
 
 
@@ -110,6 +116,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     repeated, distinct = repeated_words(words)
+    if len(words) > VARIETY_BLOCK:
+        distinct = sum(len(set(words[i : i + VARIETY_BLOCK])) for i in range(0, len(words), VARIETY_BLOCK))
     letters = len(raw.translate(None, _NOT_LETTERS)) if raw.isascii() else len(_LETTER.findall(text))
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), letters, chars, distinct
 
@@ -139,6 +147,11 @@ def ledger(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text_col: str
     return measures(docs, keep=keep, text_col=text_col).withColumn("failed_rules", total.cast("long"))
 
 
+def stored_ledger(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The ledger written to the shared folder and read back: later policies cost a scan of it and none of the texts."""
+    return materialize(ledger(docs, keep=keep, text_col=text_col), "ledger")
+
+
 def mask(rules: Sequence[str]) -> int:
     names = list(RULES)
     return sum(1 << names.index(r) for r in rules)
@@ -161,18 +174,24 @@ def ablations(rows: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFra
     """For each policy and rule: texts that the policy keeps, and that it would keep without the rule.
 
     Counts per distinct bit pattern come first (summed map-side); the policies
-    see only those.  ``or_bits`` and ``and_bits`` are the rules that any and
-    every rejected text fails.
+    see only those.  ``or_bits`` and ``and_bits`` are the policy's rules that
+    any and every rejected text fails.
     """
-    patterns = rows.groupBy("failed_rules").agg(F.count(F.lit(1)).alias("n"))
-    out = None
-    for p in policies:
-        for rule in p.rules:
-            one = patterns.agg(
-                F.coalesce(F.sum(F.when(~rejects(p), F.col("n"))), F.lit(0)).alias("kept"),
-                F.coalesce(F.sum(F.when(~rejects(p, without=(rule,)), F.col("n"))), F.lit(0)).alias("kept_without_rule"),
-                F.expr("bit_or(failed_rules)").alias("or_bits"),
-                F.expr("bit_and(failed_rules)").alias("and_bits"),
-            ).select(F.lit(p.version).alias("policy"), F.lit(rule).alias("rule"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+    zero = F.lit(0).cast("long")
+    patterns = rows.groupBy(F.col("failed_rules").alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    cases = [(p, rule) for p in policies for rule in p.rules]
+    one = lambda p, rule: F.struct(
+        F.lit(p.version).alias("policy"), F.lit(rule).alias("rule"),
+        rejects(p, "bits").alias("rejected"), rejects(p, "bits", without=(rule,)).alias("rejected_without"),
+        F.col("bits").bitwiseAND(F.lit(mask(p.rules)).cast("long")).alias("failed"),
+    )
+    found = patterns.select("n", F.inline(F.array(*[one(p, rule) for p, rule in cases])))
+    sums = found.groupBy("policy", "rule").agg(
+        F.sum(F.when(F.col("rejected"), zero).otherwise(F.col("n"))).alias("kept"),
+        F.sum(F.when(F.col("rejected_without"), zero).otherwise(F.col("n"))).alias("kept_without_rule"),
+        F.bit_or(F.when(F.col("rejected"), F.col("failed"))).alias("or_bits"),
+        F.bit_and(F.when(F.col("rejected"), F.col("failed"))).alias("and_bits"),
+    )
+    listed = rows.sparkSession.createDataFrame([(p.version, rule) for p, rule in cases], "policy string, rule string")
+    out = F.broadcast(listed).join(sums, ["policy", "rule"], "left")
+    return out.select("policy", "rule", *[F.coalesce(c, zero).alias(c) for c in ("kept", "kept_without_rule", "or_bits", "and_bits")])

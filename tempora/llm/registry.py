@@ -91,8 +91,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements, failure bits and the production policy's verdict for every document."""
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    """Measurements, failure bits and the production policy's verdict for every document, from the stored ledger."""
+    rows = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
     base = quality_rules.mask(quality_rules.BASE_RULES)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_rules",
@@ -101,6 +101,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the policy keeps, from one stored ledger."""
+    rows = quality_rules.apply_policies(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "failed_rules", *[F.col(f"`kept_{p.version}`").alias(f"kept_{p.version.replace('-', '_')}") for p in quality_rules.POLICIES])
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the policy keeps with and without each of its rules, from one stored ledger."""
+    return quality_rules.ablations(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, grade and verdict for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -110,7 +121,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pack_best_fit, op2_quality_classifier, op3_language_id, op4_decontaminate, op5_simhash, op6_warc, op7_personal_data,
-        op8_suffix_dedup, op9_quality_rules, op10_toxicity,
+        op8_suffix_dedup, op9_quality_rules, op10_toxicity, rule_policies, rule_ablations,
     )}
 
 

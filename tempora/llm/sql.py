@@ -25,35 +25,61 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES["op9_quality_rules"] = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+_LEDGER = r"""d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
-  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS x
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-twice AS (SELECT doc_id, x FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+  SELECT rid, i, array_to_string(w[i:i+7], ' ') AS x
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT rid, x FROM win GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, x)) GROUP BY 1),
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT win.rid, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (rid, x)) GROUP BY 1),
 ln AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+vary AS (
+  SELECT rid, CAST(sum(len(list_distinct(w[k * 1000 + 1:k * 1000 + 1000]))) AS BIGINT) AS n_distinct_words
+  FROM (SELECT rid, w, unnest(range(0, (len(w) + 999) // 1000)) AS k FROM d) GROUP BY 1),
 m AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-    coalesce(n_lines, 0) AS n_lines, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters, len(list_distinct(w)) AS n_distinct_words
-  FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+    coalesce(n_lines, 0) AS n_lines, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters, coalesce(n_distinct_words, 0) AS n_distinct_words
+  FROM d LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN vary USING (rid)),
 f AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) AS r0, (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 1 ELSE 0 END) AS r1,
     (CASE WHEN word_chars < 2 * n_words THEN 1 ELSE 0 END) AS r2, (CASE WHEN word_chars > 20 * n_words THEN 1 ELSE 0 END) AS r3,
     (CASE WHEN 10 * n_symbols > n_words THEN 1 ELSE 0 END) AS r4, (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 1 ELSE 0 END) AS r5,
-    (CASE WHEN 100 * n_letters < 50 * word_chars THEN 1 ELSE 0 END) AS r6,
-    (CASE WHEN 100 * n_distinct_words < 10 * n_words AND n_words < 2000 THEN 1 ELSE 0 END) AS r7
-  FROM m)
+    (CASE WHEN 100 * n_letters < 50 * word_chars THEN 1 ELSE 0 END) AS r6, (CASE WHEN 100 * n_distinct_words < 10 * n_words THEN 1 ELSE 0 END) AS r7
+  FROM m),
+l AS (
+  SELECT *, CAST(r0 + 2 * r1 + 4 * r2 + 8 * r3 + 16 * r4 + 32 * r5 + 64 * r6 + 128 * r7 AS BIGINT) AS failed_rules FROM f)"""
+
+ORACLES["op9_quality_rules"] = f"""
+WITH {_LEDGER}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  CAST(r0 + 2 * r1 + 4 * r2 + 8 * r3 + 16 * r4 + 32 * r5 + 64 * r6 + 128 * r7 AS BIGINT) AS failed_rules,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_rules,
   r0 + r1 > 0 AS base_failed, NOT (r0 + r1 > 0 OR r0 + r1 + r2 + r3 + r4 + r5 + r6 + r7 >= 3) AS kept
-FROM f
+FROM l
+"""
+
+ORACLES["rule_policies"] = f"""
+WITH {_LEDGER}
+SELECT doc_id, failed_rules, failed_rules & 3 = 0 AS kept_v1_base, failed_rules & 3 = 0 AND bit_count(failed_rules) < 3 AS kept_v2_lenient, failed_rules = 0 AS kept_v3_strict FROM l
+"""
+
+# p: version, mask of its rules, mask of those that reject alone, failures that reject.
+ORACLES["rule_ablations"] = f"""
+WITH {_LEDGER},
+p AS (SELECT unnest(['v1-base', 'v2-lenient', 'v3-strict']) AS policy, unnest([3, 255, 255]) AS counted, unnest([3, 3, 3]) AS fatal, unnest([1, 3, 1]) AS upto),
+r AS (
+  SELECT unnest(['too_few_words', 'repeated_windows', 'short_words', 'long_words', 'many_symbols', 'duplicate_lines', 'few_letters', 'little_variety']) AS rule, unnest(range(0, 8)) AS place),
+c AS (SELECT policy, rule, counted, fatal, upto, CAST(1 << place AS BIGINT) AS bit FROM p JOIN r ON (counted >> place) & 1 = 1),
+t AS (SELECT failed_rules AS b, count(*) AS n FROM l GROUP BY 1),
+x AS (
+  SELECT policy, rule, n, b & counted AS failed, bit_count(b & counted) >= upto OR b & fatal <> 0 AS gone,
+    bit_count(b & counted & ~bit) >= upto OR b & fatal & ~bit <> 0 AS gone_without FROM c LEFT JOIN t ON true)
+SELECT policy, rule, CAST(coalesce(sum(n) FILTER (NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone_without), 0) AS BIGINT) AS kept_without_rule,
+  CAST(coalesce(bit_or(failed) FILTER (gone), 0) AS BIGINT) AS or_bits, CAST(coalesce(bit_and(failed) FILTER (gone), 0) AS BIGINT) AS and_bits
+FROM x GROUP BY policy, rule
 """
 
 # Base 32 of a digest: eight groups of 40 bits, each as eight characters of five bits.

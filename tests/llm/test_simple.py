@@ -98,9 +98,24 @@ def test_repeated_words():
 
 def test_rule_queries_equal_sql(spark, documents, folder):
     odd = [(1, None), (2, ""), (3, " \n\t"), (4, "a\x0bb\x0cc\rd"), (5, "é ü " * 30), (6, "same line\nsame line\nother\n\n"), (7, "#$ x&|<> *%"), (8, "w " * 3000), (9, "a b c d e f g h " * 3)]
+    odd += [(10, "½²① é"), (11, "½ ² Ⅷ ① 12 " * 9), (12, " ".join(f"w{i % 150}" for i in range(2600))), (13, " ".join(f"w{i % 90}" for i in range(1999))), (None, "x"), (9, "again")]
     sf = folder(documents=documents(odd, n_words="clash"))
-    assert_same(spark, registry.op9_quality_rules, S.ORACLES["op9_quality_rules"], sf.removeprefix("file://"))
-    assert_same(spark, registry.op9_quality_rules, S.ORACLES["op9_quality_rules"], DATA)
+    for name in ("op9_quality_rules", "rule_policies", "rule_ablations"):
+        assert_same(spark, getattr(registry, name), S.ORACLES[name], sf.removeprefix("file://"))
+        assert_same(spark, getattr(registry, name), S.ORACLES[name], DATA)
+
+
+def test_the_same_share_of_variety_holds_at_every_length():
+    for n in (500, 1999, 2000, 50_000):
+        value = dict(zip(quality_rules.MEASURES, quality_rules.measure(" ".join(f"w{i % 20}" for i in range(n))), strict=True))
+        assert value["n_distinct_words"] == 20 * -(-n // 1000)
+
+
+def test_ablation_bits_are_those_of_rejected_texts(spark):
+    rows = spark.createDataFrame([(0,), (16,), (1,)], "failed_rules long")
+    got = {(r.policy, r.or_bits, r.and_bits) for r in quality_rules.ablations(rows).collect()}
+    assert got == {("v1-base", 1, 1), ("v2-lenient", 1, 1), ("v3-strict", 17, 0)}
+    assert {(r.kept, r.or_bits, r.and_bits) for r in quality_rules.ablations(rows.limit(0)).collect()} == {(0, 0, 0)}
 
 
 def test_policies_and_ablations(spark):
@@ -149,6 +164,9 @@ def test_contamination(spark, documents, folder):
     kept = decontaminate.drop_contaminated(documents(rows, items="clash"), bench)
     assert kept.columns == documents(rows, items="clash").columns
     assert kept.count() == sum(1 for i, t in rows if not brute_contamination(t, items)[1])
+    assert decontaminate.drop_contaminated(documents(rows, items="clash", k1=1, block=2), bench, block_bytes=40).count() == kept.count()
+    both = decontaminate.find_contamination(documents(rows, k1=5), bench, keep=["k1", "doc_id", "n_chars"], block_bytes=40)
+    assert both.columns == ["k1", "doc_id", "n_chars", "n_words", "hit_runs", "items"] and both.count() == len(rows)
 
 
 def test_empty_tables(spark, documents, folder):
