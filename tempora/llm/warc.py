@@ -6,8 +6,14 @@ are then merged by a loser tree over k runs: in passes of ``FAN_IN`` while
 there are more, and at last in key ranges, one task each, found by binary
 search in the runs.  Ranges split on the whole key (URL, time, id), so even a
 single URL with a third of all captures is dealt over many tasks.  A range's
-records are read back from the archives in merged order, which within an
-archive is forward only.
+records are read back from the archives in merged order: exactly their bytes,
+or a small block ahead where an archive's records follow each other, with a
+bounded number of open files.
+
+Payloads stay where they are: records learn of their group by its digest, from
+a broadcast where all groups are few or a group holds a thousandth of all rows
+(at most a thousand such groups), and for the rest by a join on digests of which
+none is frequent.
 
 Of records with equal payloads of at least ``min_revisit_bytes`` the one with
 the smallest id is a response, the others are revisits of it.
@@ -15,11 +21,13 @@ the smallest id is a response, the others are revisits of it.
 Files have names of their own for each task attempt, and only the files that a
 finished task reports are read, so a lost or repeated task does no harm.
 
-Defined cases: null html is an empty payload; null URLs have an empty key and
-no target header; a null id never names a response unless all ids of the group
+Defined cases: null html is an empty payload; payloads of any length are kept
+whole; null URLs have an empty key and no target header, and any URL comes back
+as it was; ids may hold any characters, and an empty id is not a null one; a null
+id never names a response unless all ids of the group
 are null, in which case all are responses; rows that repeat the smallest id
 are responses too; ties of URL and time are ordered by id; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +35,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import time
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -44,9 +54,14 @@ FAN_IN = 128
 RANGE_CAPTURES = 10_000
 SAMPLES = 64
 BROADCAST_BYTES = 2 << 20
+#: A group with so small a part of the repeated rows is broadcast even where the groups are many.
+HOT_SHARE = 1000
 READ_AHEAD = 1 << 20
+#: Bytes read at once from an archive whose records follow each other, and archives that a task holds open.
+BLOCK_AHEAD, OPEN_ARCHIVES = 64 << 10, 256
 EPOCH = 1_577_836_800
 _URN = "urn:tempora:page:"
+_NO_URN = "urn:tempora:none"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -81,16 +96,27 @@ def _stamp(seconds: int, form: str) -> str:
     return time.strftime(form, time.gmtime(seconds))
 
 
+def _urn(page: str | None) -> str:
+    return f"<{_NO_URN}>" if page is None else f"<{_URN}{quote(page, safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return None if urn[1:-1] == _NO_URN else unquote(urn[len(_URN) + 1 : -1])
+
+
 def write_record(record: Record) -> bytes:
     """A WARC/1.1 record as one gzip member."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % record.payload_bytes
     block = http + record.payload if record.kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {record.kind}", f"WARC-Record-ID: <{_URN}{'' if record.page is None else quote(record.page)}>", f"WARC-Date: {_stamp(record.seconds, '%Y-%m-%dT%H:%M:%SZ')}"]
+    head = ["WARC/1.1", f"WARC-Type: {record.kind}", f"WARC-Record-ID: {_urn(record.page)}", f"WARC-Date: {_stamp(record.seconds, '%Y-%m-%dT%H:%M:%SZ')}"]
     if record.url is not None:
-        head.append(f"WARC-Target-URI: {quote(record.url, safe='!#$&()*+,/:;=?@[]~%' + chr(39))}")
+        uri = quote(record.url, safe="!#$&()*+,/:;=?@[]~%" + chr(39))
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != record.url:
+            head.append(f"X-Source-URL: {quote(record.url, safe='')}")
     head.append(f"WARC-Payload-Digest: sha1:{record.digest}")
     if record.kind == "revisit":
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_URN}{quote(record.refers_to or '')}>"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(record.refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -98,8 +124,6 @@ def write_record(record: Record) -> bytes:
 
 def read_record(member: bytes) -> Record:
     """The record of one gzip member; a response's payload is held against its digest."""
-    from urllib.parse import unquote
-
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
@@ -109,13 +133,13 @@ def read_record(member: bytes) -> Record:
     size = int(http.rsplit(b"Content-Length: ", 1)[1])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     kind = fields["WARC-Type"]
-    ident = lambda name: unquote(fields[name][len(_URN) + 1 : -1]) or None
     if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     import calendar
 
     seconds = calendar.timegm(time.strptime(fields["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ"))
-    return Record(ident("WARC-Record-ID"), fields.get("WARC-Target-URI"), seconds, payload, digest, size, kind, ident("WARC-Refers-To") if kind == "revisit" else None)
+    url = unquote(fields["X-Source-URL"]) if "X-Source-URL" in fields else fields.get("WARC-Target-URI")
+    return Record(_page(fields["WARC-Record-ID"]), url, seconds, payload, digest, size, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None)
 
 
 class LoserTree:
@@ -158,9 +182,23 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-# An index line: url key, time, id, archive, offset, length; the first three are its sort key.
+def _escaped(text: str) -> bytes:
+    """Bytes without tab or newline that sort as the text does: bytes up to 10 become 1 and 32 more."""
+    raw = text.encode()
+    return _LOW.sub(lambda m: bytes([1, m[0][0] + 32]), raw)
+
+
+def _plain(field: bytes) -> str:
+    return _ESCAPED.sub(lambda m: bytes([m[0][1] - 32]), field).decode()
+
+
+_LOW, _ESCAPED = re.compile(rb"[\x00-\x0a]"), re.compile(rb"\x01[\x20-\x2a]")
+
+
+# An index line: url key, time, id ("=" before it, or nothing for null), archive, offset, length; the first three are its sort key.
 def _line(key: str, seconds: int, page: str | None, archive: str, offset: int, length: int) -> bytes:
-    return "\t".join([key, _stamp(seconds, "%Y%m%d%H%M%S"), page or "", archive, str(offset), str(length)]).encode() + b"\n"
+    ident = b"" if page is None else b"=" + _escaped(page)
+    return b"\t".join([_escaped(key), _stamp(seconds, "%Y%m%d%H%M%S").encode(), ident, f"{archive}\t{offset}\t{length}".encode()]) + b"\n"
 
 
 def _key(line: bytes) -> tuple[bytes, ...]:
@@ -224,38 +262,53 @@ def merged(runs: list[Iterator[bytes]]) -> Iterator[bytes]:
 
 
 class Archives:
-    """Reads records from archives, forward and ahead."""
+    """Reads records from archives; the least recently used of more than ``OPEN_ARCHIVES`` is closed."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.files, self.ahead = folder, {}, {}
+        self.folder, self.files, self.ahead = folder, OrderedDict(), {}
 
     def member(self, name: str, offset: int, length: int) -> bytes:
         file = self.files.get(name)
         if file is None:
+            if len(self.files) >= OPEN_ARCHIVES:
+                old, oldest = self.files.popitem(last=False)
+                oldest.close()
+                self.ahead.pop(old, None)
             files, path = _open(f"{self.folder}/{name}")
             file = self.files[name] = files.open_input_file(path)
-        begin, data = self.ahead.get(name, (0, b""))
+        self.files.move_to_end(name)
+        begin, data, end = self.ahead.get(name, (0, b"", -1))
         if not begin <= offset <= offset + length <= begin + len(data):
-            begin, data = offset, file.read_at(max(length, READ_AHEAD // 8), offset)
-            self.ahead[name] = begin, data
+            follows = offset == end  # only then is it worth reading more than the record
+            begin, data = offset, file.read_at(max(length, BLOCK_AHEAD if follows else 0), offset)
+        self.ahead[name] = begin, data, offset + length
         return data[offset - begin : offset - begin + length]
 
+    def close(self) -> None:
+        while self.files:
+            self.files.popitem()[1].close()
+
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str, url_col: str, html_col: str, seconds: Column, min_revisit_bytes: int) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, id_col: str, url_col: str, html_col: str, seconds: Column, min_revisit_bytes: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Write one archive and one sorted run for each part; returns (run, captures)."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), seconds.cast("long").alias("seconds"))
+    payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), seconds.cast("long").alias("seconds"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     groups = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.select("digest", "response"), "payloads")
-    small = stored_bytes(groups) <= BROADCAST_BYTES
-    rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
+    groups = materialize(groups.select("digest", "response", "n"), "payloads")
+    if stored_bytes(groups) <= broadcast_bytes:
+        rows = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        total = groups.agg(F.sum("n")).first()[0]
+        hot = groups.where(F.col("n") * HOT_SHARE >= total).drop("n")  # at most HOT_SHARE rows
+        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.drop("n").join(F.broadcast(hot.select("digest")), "digest", "left_anti"), "digest", "left")
+        rows = rows.join(F.broadcast(hot), "digest").unionByName(rest)
     revisit = F.col("response").isNotNull() & ~F.col("page").eqNullSafe(F.col("response"))
     rows = rows.select(
         url_key(F.col("url")).alias("key"), F.coalesce("seconds", F.lit(EPOCH)).alias("seconds"), F.col("page").cast("string").alias("page"), "url", "payload",
         F.when(revisit, F.col("response").cast("string")).alias("refers_to"), revisit.alias("revisit"),
     )
-    rows = rows.sortWithinPartitions("key", "seconds", F.coalesce("page", F.lit("")))
+    rows = rows.sortWithinPartitions("key", "seconds", F.col("page").asc_nulls_first())
 
     def write(batches):
         import uuid
@@ -306,8 +359,11 @@ def _merge_pass(spark, folder: str, runs: list[str], fan_in: int) -> list[str]:
             for names in batch.column(1).to_pylist():
                 out = f"{uuid.uuid4().hex}.run"
                 with files.open_output_stream(f"{base}/{out}", compression=None) as target:
-                    for line in merged([Run(f"{folder}/{r}").lines() for r in names]):
+                    opened = [Run(f"{folder}/{r}") for r in names]
+                    for line in merged([r.lines() for r in opened]):
                         target.write(line + b"\n")
+                    for run in opened:
+                        run.file.close()
                 yield pa.RecordBatch.from_arrays([pa.array([out])], names=["run"])
 
     return [r["run"] for r in materialize(df.mapInArrow(merge, "run string"), "merged").collect()]
@@ -322,6 +378,7 @@ def split_keys(folder: str, runs: list[str], ranges: int) -> list[tuple[bytes, .
             _, line = run.line_at(run.size * i // SAMPLES)
             if line:
                 seen.append((_key(line), run.size))
+        run.file.close()
     seen.sort()
     total = sum(w for _, w in seen)
     keys, upto = [], 0
@@ -359,7 +416,7 @@ def archive_and_read(
     kind = pages.schema[id_col].dataType
     folder = folder or new_path(spark, "warc")
     if seconds is None:
-        seconds = F.lit(EPOCH) + F.pmod(F.coalesce(F.col(id_col).try_cast("long"), F.lit(0)), F.lit(1_000_000_000))
+        seconds = F.lit(EPOCH) + F.pmod(F.coalesce(F.col(f"`{id_col}`").try_cast("long"), F.lit(0)), F.lit(1_000_000_000))
     listed = write_archives(pages, folder, id_col=id_col, url_col=url_col, html_col=html_col, seconds=seconds, min_revisit_bytes=min_revisit_bytes)
     found = listed.orderBy("run").collect()  # one row for each archive
     runs, total = [r["run"] for r in found], sum(r["captures"] for r in found)
@@ -367,27 +424,30 @@ def archive_and_read(
         runs = _merge_pass(spark, folder, runs, fan_in)
     n_ranges = max(1, -(-total // range_captures))
     keys = split_keys(folder, runs, n_ranges) if runs else []
-    as_text = [None, *([k.decode() for k in key] for key in keys), None]
-    ranges = [(i, as_text[i], as_text[i + 1]) for i in range(len(as_text) - 1)] if runs else []
-    todo = spark.createDataFrame(ranges, "i int, lo array<string>, hi array<string>").repartition(max(1, len(ranges)), "i")
+    edges = [None, *([bytearray(k) for k in key] for key in keys), None]
+    ranges = [(i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)] if runs else []
+    todo = spark.createDataFrame(ranges, "i int, lo array<binary>, hi array<binary>").repartition(max(1, len(ranges)), "i")
 
     def read(batches):
         archives = Archives(folder)
         for batch in batches:
             for number, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lo, hi = (None if k is None else tuple(x.encode() for x in k) for k in (lo, hi))
+                lo, hi = (None if k is None else tuple(k) for k in (lo, hi))
                 opened = [Run(f"{folder}/{r}") for r in runs]
                 parts = [r.lines(r.first_from(lo), r.size if hi is None else r.first_from(hi)) for r in opened]
                 rows = []
                 for place, line in enumerate(merged(parts)):
-                    key, stamp, _, name, offset, length = line.decode().split("\t")
-                    r = read_record(archives.member(name, int(offset), int(length)))
-                    rows.append((r.page, r.url, key, stamp, r.payload_bytes, r.digest, r.kind, r.refers_to, (number << 40) + place))
+                    key, stamp, _, name, offset, length = line.split(b"\t")
+                    r = read_record(archives.member(name.decode(), int(offset), int(length)))
+                    rows.append((r.page, r.url, _plain(key), stamp.decode(), r.payload_bytes, r.digest, r.kind, r.refers_to, (number << 40) + place))
                     if len(rows) == 2000:
                         yield _batch(rows)
                         rows = []
                 if rows:
                     yield _batch(rows)
+                for run in opened:
+                    run.file.close()
+        archives.close()
 
     out = todo.mapInArrow(read, _READ)
     typed = {"page": F.col("page").cast(kind).alias(id_col), "refers_to": F.col("refers_to").cast(kind).alias("refers_to")}
