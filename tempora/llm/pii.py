@@ -9,7 +9,8 @@ words together reach ``MIN_SCORE``.
 Defined cases: null text counts as empty and gives no spans; offsets are code
 points, end exclusive; equal starts are ordered by kind; texts of any length
 are scanned whole, in time linear in their length; repeated rows each get
-their own result; other columns never matter.
+their own result; an empty table gives an empty result; other columns never
+matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ along smallest neighbours, all in tables; nothing but counts reaches the driver.
 Defined cases: null and blank texts have fingerprint zero, which links like any
 other; texts with fewer words than a shingle are one shingle; repeated rows get
 the same result each; rows without an id never name a component and keep a null
-one if no row of theirs has an id; an empty table gives an empty result; other
-columns are ignored.
+one if no row of theirs has an id; texts of any length are read whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

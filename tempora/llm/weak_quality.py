@@ -13,7 +13,7 @@ and scoring read only that small table.
 Defined cases: null and empty text have no words, so only the length labeller
 votes and only the empty-text feature is set; repeated rows each get their own
 result; an empty table gives an empty result; texts of any length are read
-whole; other columns are ignored.
+whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
