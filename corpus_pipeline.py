@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, data folder) and works on all documents that its
 predecessor kept; ``run`` writes every stage as Parquet in the shared folder and
 reads it again.  All but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts are kept by every filter (null and blank
+texts are near copies of each other, so one of them stays) and packed as the end
+id alone; rows without an id are kept by the near-duplicate stage; of rows that
+repeat an id, those in one component are near copies; texts of any length are
+read whole; an empty table gives an empty result; other columns pass through
+the first four stages as they are, whatever their names.
 """
 
 from __future__ import annotations
