@@ -27,7 +27,7 @@ def union(df: DataFrame, keys: Keys, *, bucket: int | None = None, gap: int = 0)
     """Maximal intervals per key; those that touch merge.
 
     ``gap`` is the largest distance that still merges: 0 for half-open
-    intervals, 1 for closed integer ranges.  With ``bucket``, intervals that
+    intervals, 1 for closed integer ranges, -1 where only overlapping ones do.  With ``bucket``, intervals that
     start in the same bucket of the axis merge first.
     """
     if bucket is not None:

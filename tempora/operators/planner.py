@@ -5,13 +5,18 @@ inside an interval), the smallest maximum load (measure of intervals in a
 chunk), the smallest sum of squared loads, the earliest boundaries.  One
 recording is one group; recordings are planned independently.
 
+A cut is hard for the choice where it lies strictly inside the union of the
+intervals; a chunk's end is labelled hard where it lies strictly inside one of
+the intervals as given, so a cut between two that touch is labelled silence.
+
 A dynamic programme over (chunks left, boundary, hard cuts used) runs three
 times: for the fewest hard cuts; by bisection for the smallest cap on the load
 that still allows them; for the smallest sum of squares under both, from the
 end, so that the walk forward can take the earliest boundary that keeps the
-optimum.  States are rows of numpy arrays over all boundaries of a stage.
-Its time grows with boundaries times the width of the bounds, so the axis
-should have coarse units (seconds rather than samples).
+optimum.  Loads grow along the axis, so a cap on the load only shortens the
+window of allowed ends, and a stage of the first two takes range minima; a stage
+of the third takes boundaries times the width of the bounds.  The axis should
+have coarse units (seconds rather than samples).
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tempora.operators.intervals import normalize, union
 
@@ -51,33 +57,74 @@ def hard_at(n: int, intervals: Sequence[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: Sequence[tuple[int, int]]) -> list[int]:
+def inside_one(n: int, intervals: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Whether each coordinate 0..n lies strictly inside one of the intervals."""
+    edge = np.zeros(n + 2, np.int64)
+    for s, e in intervals:
+        s, e = max(0, min(n, s)), max(0, min(n, e))
+        if e > s + 1:
+            edge[s + 1] += 1
+            edge[e] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _range_minimum(values: np.ndarray):
+    """A function from (begin, end) arrays to the minima of values[begin:end]; empty ranges give ``_FAR``."""
+    levels = [values]
+    while 2 << (len(levels) - 1) <= len(values):
+        half, last = 1 << (len(levels) - 1), levels[-1]
+        levels.append(np.minimum(last[:-half], last[half:]))
+
+    def minimum(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.full(len(begin), _FAR, np.int64)
+        size = end - begin
+        level = np.zeros(len(size), np.int64)
+        level[size > 0] = np.log2(size[size > 0]).astype(np.int64)
+        for k in np.unique(level[size > 0]):
+            pick = (size > 0) & (level == k)
+            out[pick] = np.minimum(levels[k][begin[pick]], levels[k][end[pick] - (1 << k)])
+        return out
+
+    return minimum
+
+
+class Timeline:
+    """What the planner asks of a recording, computed once for all candidate counts."""
+
+    def __init__(self, n: int, intervals: Sequence[tuple[int, int]]) -> None:
+        for s, e in intervals:
+            if max(0, min(n, e)) < max(0, min(n, s)):
+                raise ValueError(f"interval ends before it starts: {(s, e)}")
+        self.n = n
+        self.before, self.hard, self.inside = measure_to(n, intervals), hard_at(n, intervals), inside_one(n, intervals)
+
+
+def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: Sequence[tuple[int, int]] | Timeline) -> list[int]:
     """The k + 1 boundaries of the best split of [0, n) into k chunks of shortest..longest units."""
     if min(n, k, shortest) < 1 or not k * shortest <= n <= k * longest:
         raise InfeasibleError(f"{n} units cannot be split into {k} chunks of {shortest} to {longest}")
+    timeline = intervals if isinstance(intervals, Timeline) else Timeline(n, intervals)
     if k == 1:
         return [0, n]
-    before, hard = measure_to(n, intervals), hard_at(n, intervals)
+    before, hard = timeline.before, timeline.hard
     if before[-1] == 0:
         return [0, *(max(i * shortest, n - (k - i) * longest) for i in range(1, k)), n]
     span = [(max(i * shortest, n - (k - i) * longest), min(i * longest, n - (k - i) * shortest)) for i in range(k + 1)]
 
-    def fewest_cuts(cap: int) -> np.ndarray | None:
-        """Fewest hard cuts after each start with one chunk less each stage, under a load cap; stage 0's value."""
+    def fewest_cuts(cap: int) -> int:
+        """Fewest hard cuts of any split whose loads stay within ``cap``."""
         after = np.array([0], np.int64)
         for i in range(k - 1, -1, -1):
             lo, hi = span[i]
             nlo, nhi = span[i + 1]
             starts = np.arange(lo, hi + 1)
-            ends = starts[:, None] + np.arange(shortest, longest + 1)[None, :]
-            ok = (ends >= nlo) & (ends <= nhi)
-            safe = np.clip(ends, nlo, nhi)
-            ok &= before[safe] - before[starts][:, None] <= cap
-            cost = np.where(ok, after[safe - nlo] + (hard[safe] if i < k - 1 else 0), _FAR)
-            after = cost.min(axis=1)
-        return after[0]
-
-    least = int(fewest_cuts(int(before[-1])))
+            upto = np.searchsorted(before, before[starts] + cap, side="right") - 1  # the last end within the cap
+            begin, end = np.maximum(starts + shortest, nlo), np.minimum(np.minimum(starts + longest, nhi), upto)
+            cost = after + hard[nlo : nhi + 1] if i < k - 1 else after
+            after = _range_minimum(np.minimum(cost, _FAR))(begin - nlo, end - nlo + 1)
+        return int(after[0])
+
+    least = fewest_cuts(int(before[-1]))
     lo, hi = -(-int(before[-1]) // k) - 1, int(before[-1])
     while hi - lo > 1:  # lo is infeasible, hi feasible
         mid = (lo + hi) // 2
@@ -87,28 +134,31 @@ def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: S
             lo = mid
     cap = hi
     # value[i][x, h]: smallest sum of squares from boundary x of stage i with h hard cuts left.
+    width = longest - shortest + 1
     value = [np.zeros((0, 0))] * (k + 1)
     value[k] = np.full((1, least + 1), _FAR, np.int64)
     value[k][0, 0] = 0
     for i in range(k - 1, -1, -1):
         lo, hi = span[i]
         nlo, nhi = span[i + 1]
-        starts = np.arange(lo, hi + 1)
-        best = np.full((len(starts), least + 1), _FAR, np.int64)
-        for size in range(shortest, longest + 1):
-            ends = starts + size
-            ok = (ends >= nlo) & (ends <= nhi)
-            if not ok.any():
-                continue
-            s, e = starts[ok], ends[ok]
-            load = before[e] - before[s]
-            rest = value[i + 1][e - nlo]
+        ends = slice(nlo - (lo + shortest), nhi - (lo + shortest) + 1)  # of the windows of all starts
+        best = np.empty((hi - lo + 1, least + 1), np.int64)
+        room = hi - lo + width
+        load = np.full(room, before[-1], np.int64)
+        load[: max(0, min(room, n + 1 - lo - shortest))] = before[lo + shortest : lo + shortest + room]
+        load = np.lib.stride_tricks.sliding_window_view(load, width) - before[lo : hi + 1, None]
+        square, over = load * load, load > cap
+        for h in range(least + 1):
+            rest = value[i + 1][:, h]
             if i < k - 1:
-                cut = hard[e]
-                shifted = np.concatenate([np.full((len(e), 1), _FAR), rest[:, :-1]], 1)
-                rest = np.where(cut[:, None], shifted, rest)
-            total = np.where((load <= cap)[:, None], rest + (load * load)[:, None], _FAR)
-            best[ok] = np.minimum(best[ok], total)
+                cut = hard[nlo : nhi + 1]
+                rest = np.where(cut, value[i + 1][:, h - 1] if h else _FAR, rest)
+            row = np.full(room, _FAR, np.int64)
+            first, last = max(ends.start, 0), min(ends.stop, room)
+            row[first:last] = rest[first - ends.start : last - ends.start]
+            total = square + np.lib.stride_tricks.sliding_window_view(row, width)
+            total[over] = _FAR
+            best[:, h] = total.min(axis=1)
         value[i] = np.minimum(best, _FAR)
     out, cuts = [0], least
     for i in range(k):
@@ -124,12 +174,13 @@ def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: S
     return out
 
 
-def layout_of(n: int, boundaries: Sequence[int], intervals: Sequence[tuple[int, int]]) -> list[tuple[int, int, int, str, int]]:
+def layout_of(n: int, boundaries: Sequence[int], intervals: Sequence[tuple[int, int]] | Timeline) -> list[tuple[int, int, int, str, int]]:
     """(idx, s, e, boundary kind, load) of each chunk."""
-    before, hard = measure_to(n, intervals), hard_at(n, intervals)
+    timeline = intervals if isinstance(intervals, Timeline) else Timeline(n, intervals)
+    before, inside = timeline.before, timeline.inside
     out = []
     for i, (s, e) in enumerate(zip(boundaries, boundaries[1:], strict=False)):
-        kind = "audio_end" if e == n else "hard" if hard[e] else "silence"
+        kind = "audio_end" if e == n else "hard" if inside[e] else "silence"
         out.append((i, int(s), int(e), kind, int(before[e] - before[s])))
     return out
 
@@ -163,10 +214,11 @@ def plan_chunks(n: int, intervals: Sequence[tuple[int, int]], *, shortest: int,
     from fractions import Fraction
 
     counts = [count] if count is not None else candidate_counts(n, shortest, longest, group, strategy)
+    timeline = Timeline(n, intervals)
     ranked = []
     for k in counts:
-        bounds = [0, n] if k == 1 and n < shortest else optimal_boundaries(n, k, shortest, longest, intervals)
-        chunks = layout_of(n, bounds, intervals)
+        bounds = [0, n] if k == 1 and n < shortest else optimal_boundaries(n, k, shortest, longest, timeline)
+        chunks = layout_of(n, bounds, timeline)
         loads = [c[4] for c in chunks]
         total = sum(loads)
         error = Fraction(k * sum(x * x for x in loads) - total * total, total * total) if total else Fraction(0)
@@ -185,20 +237,26 @@ LAYOUT = "idx int, s bigint, e bigint, boundary string, speech bigint, error str
 def plan_recordings(intervals: DataFrame, keys: Sequence[str], length: str, *, shortest: int, longest: int, group: int = 4, strategy: str = "full", count: int | None = None) -> DataFrame:
     """The layout of each key's recording, from its intervals (s, e) and its ``length`` column.
 
-    Intervals are merged before they are grouped, so a group holds at most half
-    as many rows as the recording has units, however many intervals it came
-    with.  A recording that cannot be split gives one row with ``error`` and
-    nothing else.
+    Intervals that overlap are merged before they are grouped (those that only
+    touch are not, as a cut between them is no hard one), so a group holds at
+    most as many rows as the recording has units, however many intervals it came
+    with.  A recording that cannot be split, or with an interval that ends before
+    it starts, gives one row with ``error`` and nothing else.
     """
     whole = [*keys, length]
-    merged = union(normalize(intervals.select(*whole, "s", "e")), whole, bucket=longest)
-    intervals = intervals.select(*whole).distinct().join(merged, whole, "left")
+    clamped = lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.col(length).cast("long"), F.col(c).cast("long")))
+    rows = intervals.select(*whole, clamped("s").alias("s"), clamped("e").alias("e"))
+    merged = union(normalize(rows), whole, bucket=longest, gap=-1)
+    reversed_ = F.coalesce(F.bool_or(F.col("e") < F.col("s")), F.lit(False)).alias("reversed")
+    intervals = rows.groupBy(*whole).agg(reversed_).join(merged, whole, "left")
     kinds = ", ".join(f"`{k}` {intervals.schema[k].dataType.simpleString()}" for k in keys)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf[length].iloc[0])
         rows = [(int(s), int(e)) for s, e in zip(pdf["s"], pdf["e"], strict=True) if not (pd.isna(s) or pd.isna(e))]
         try:
+            if pdf["reversed"].iloc[0]:
+                raise ValueError("an interval ends before it starts")
             chunks = [(*c, None) for c in plan_chunks(n, rows, shortest=shortest, longest=longest, group=group, strategy=strategy, count=count)]
         except ValueError as e:
             chunks = [(None, None, None, None, None, str(e))]
