@@ -15,6 +15,18 @@ MODEL_LANGUAGES = {
     "de": "German", "en": "English", "es": "Spanish", "fr": "French", "it": "Italian", "ja": "Japanese",
     "ko": "Korean", "pt": "Portuguese", "ru": "Russian", "yue": "Cantonese", "zh": "Chinese",
 }
+# What is no prose, in the order of removal with what takes its place, and what a finished summary may not hold.
+PLACEHOLDER = r"\{\{[^}]+\}\}"
+NON_PROSE = (
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?s)```.*?(?:```|\z)", ""),
+    (r"(?s)~~~.*?(?:~~~|\z)", ""),
+    (r"`[^`\n]*`", ""),
+    (PLACEHOLDER, ""),
+    (r"\]\([^\n)]*\)", "]"),
+    (r"(?U)https?://[^\s)>]+", ""),
+)
+COMMENT_MARKS = ("<!--", "-->")
 
 
 def col(c: Column | str) -> Column:
@@ -72,13 +84,10 @@ def ends_strongly(c: Column | str) -> Column:
 
 def strip_non_prose(c: Column | str) -> Column:
     """Without comments, code fences, inline code, placeholders, link targets and addresses, in that order."""
-    x = replace(c, r"(?s)<!--.*?-->", "")
-    x = replace(x, r"(?s)```.*?(?:```|\z)", "")
-    x = replace(x, r"(?s)~~~.*?(?:~~~|\z)", "")
-    x = replace(x, r"`[^`\n]*`", "")
-    x = replace(x, r"\{\{[^}]+\}\}", "")
-    x = replace(x, r"\]\([^\n)]*\)", "]")
-    return replace(x, r"(?U)https?://[^\s)>]+", "")
+    x = col(c)
+    for pattern, new in NON_PROSE:
+        x = replace(x, pattern, new)
+    return x
 
 
 def chinese_count(c: Column | str) -> Column:
@@ -105,8 +114,8 @@ def expected_language(name: Column | str) -> Column:
 def summary_errors(c: Column | str) -> Column:
     x = col(c)
     found = F.array(
-        F.when(x.rlike(r"\{\{[^}]+\}\}"), F.lit("placeholder remains")),
-        F.when(x.contains("<!--") | x.contains("-->"), F.lit("template comment remains")),
+        F.when(x.rlike(PLACEHOLDER), F.lit("placeholder remains")),
+        F.when(x.contains(COMMENT_MARKS[0]) | x.contains(COMMENT_MARKS[1]), F.lit("template comment remains")),
     )
     return F.array_compact(found)
 

@@ -18,7 +18,7 @@ def _query(url: Column, name: str, last: bool) -> Column:
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(f"{name}=") & (F.length(p) > len(name) + 1))
     value = F.try_element_at(pairs, F.lit(-1 if last else 1))
-    return F.coalesce(F.substring(value, len(name) + 2, 10_000), F.lit(""))
+    return F.coalesce(F.substr(value, F.lit(len(name) + 2)), F.lit(""))
 
 
 def canonical_video_url(c: Column | str) -> Column:

@@ -94,63 +94,90 @@ def intersect(a: DataFrame, b: DataFrame, keys: Keys, bucket: int) -> DataFrame:
     return whole.distinct()
 
 
-def with_prefix(islands: DataFrame, keys: Keys, name: str = "before") -> DataFrame:
-    """Disjoint intervals with the measure of those before each."""
-    order = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return islands.withColumn(name, F.coalesce(F.sum(F.col("e") - F.col("s")).over(order), F.lit(0).cast("long")))
+def with_prefix(islands: DataFrame, keys: Keys, name: str = "before", *, bucket: int | None = None) -> DataFrame:
+    """Disjoint intervals with the measure of those before each.
+
+    With ``bucket``, intervals are ordered within buckets of the axis and only
+    one sum per bucket is ordered per key, so a key of any size is dealt over
+    many tasks; keys must then not be null.
+    """
+    size = F.col("e") - F.col("s")
+    sums = lambda by, order, x: F.coalesce(F.sum(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    if bucket is None:
+        return islands.withColumn(name, sums(keys, "s", size))
+    cell = [*keys, "__b"]
+    cut = islands.withColumn("__b", F.floor(F.col("s") / bucket))
+    cells = cut.groupBy(*cell).agg(F.sum(size).alias("__m")).withColumn("__earlier", sums(keys, "__b", F.col("__m"))).drop("__m")
+    inside = cut.withColumn("__inside", sums(cell, "s", size)).join(cells, cell)
+    return inside.select(*islands.columns, (F.col("__inside") + F.col("__earlier")).alias(name))
 
 
-def first_length(islands: DataFrame, keys: Keys, limit: int) -> DataFrame:
+def first_length(islands: DataFrame, keys: Keys, limit: int, *, bucket: int | None = None) -> DataFrame:
     """The first ``limit`` units of a key's intervals, the last one cut."""
     left = F.greatest(F.lit(0).cast("long"), F.lit(limit) - F.col("__before"))
-    cut = with_prefix(islands, keys, "__before").withColumn("e", F.col("s") + F.least(F.col("e") - F.col("s"), left))
+    cut = with_prefix(islands, keys, "__before", bucket=bucket).withColumn("e", F.col("s") + F.least(F.col("e") - F.col("s"), left))
     return cut.where("e > s").drop("__before")
 
 
-def _as_of(points: DataFrame, rows: DataFrame, keys: Keys, point: str, at: str, values: Sequence[str]) -> DataFrame:
-    """For each point the values of the last row with ``at`` <= point: one union and one window, no join."""
-    left = points.select(*points.columns, F.col(point).alias("__t"), F.lit(1).alias("__kind"), *[F.lit(None).cast(rows.schema[v].dataType).alias(f"__{v}") for v in values])
+def _as_of(points: DataFrame, rows: DataFrame, keys: Keys, point: str, at: str, values: Sequence[str], bucket: int | None = None) -> DataFrame:
+    """For each point the values of the last row with ``at`` <= point: one union and one window.
+
+    With ``bucket``, the window covers a bucket of the axis, and what the
+    earlier buckets end with is carried on by one row per bucket.
+    """
+    found = F.struct(*[F.col(v) for v in values])
+    left = points.select(*points.columns, F.col(point).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.select(found).schema[0].dataType).alias("__row"))
     mine = [F.col(k) if k in keys else F.lit(None).cast(points.schema[k].dataType).alias(k) for k in points.columns]
-    right = rows.select(*mine, F.col(at).alias("__t"), F.lit(0).alias("__kind"), *[F.col(v).alias(f"__{v}") for v in values])
-    order = Window.partitionBy(*keys).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).withColumns({f"__{v}": F.last(f"__{v}", ignorenulls=True).over(order) for v in values})
-    return filled.where("__kind = 1")
+    right = rows.select(*mine, F.col(at).alias("__t"), F.lit(0).alias("__kind"), found.alias("__row"))
+    both = left.unionByName(right)
+    cell = list(keys)
+    if bucket is not None:
+        cell.append("__b")
+        both = both.withColumn("__b", F.floor(F.col("__t") / bucket))
+    order = Window.partitionBy(*cell).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("__row", F.last("__row", ignorenulls=True).over(order)).where("__kind = 1")
+    if bucket is not None:
+        ends = both.groupBy(*cell).agg(F.max_by("__row", F.when(F.col("__kind") == 0, F.col("__t"))).alias("__end"))
+        earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
+        filled = filled.join(carried, cell).withColumn("__row", F.coalesce("__row", "__carried"))
+    return filled.select(*points.columns, *[F.col(f"__row.{v}").alias(f"__{v}") for v in values])
 
 
-def measure_before(points: DataFrame, islands: DataFrame, keys: Keys, point: str = "x", name: str = "measure") -> DataFrame:
+def measure_before(points: DataFrame, islands: DataFrame, keys: Keys, point: str = "x", name: str = "measure", *, bucket: int | None = None) -> DataFrame:
     """The measure of a key's disjoint intervals before each point (0 without any)."""
-    rows = with_prefix(islands, keys, "before").select(*keys, "s", "e", "before")
-    found = _as_of(points, rows, keys, point, "s", ["s", "e", "before"])
+    rows = with_prefix(islands, keys, "before", bucket=bucket).select(*keys, "s", "e", "before")
+    found = _as_of(points, rows, keys, point, "s", ["s", "e", "before"], bucket)
     inside = F.least(F.col(point), F.col("__e")) - F.col("__s")
     return found.select(*points.columns, F.coalesce(F.col("__before") + inside, F.lit(0).cast("long")).alias(name))
 
 
-def is_inside(points: DataFrame, islands: DataFrame, keys: Keys, point: str = "x", name: str = "inside") -> DataFrame:
+def is_inside(points: DataFrame, islands: DataFrame, keys: Keys, point: str = "x", name: str = "inside", *, bucket: int | None = None) -> DataFrame:
     """Whether each point lies strictly inside an interval of its key."""
-    found = _as_of(points, islands.select(*keys, "s", "e"), keys, point, "s", ["s", "e"])
+    found = _as_of(points, islands.select(*keys, "s", "e"), keys, point, "s", ["s", "e"], bucket)
     inner = (F.col("__s") < F.col(point)) & (F.col(point) < F.col("__e"))
     # A point on the start of an interval is inside none: disjoint intervals end before it.
     return found.select(*points.columns, F.coalesce(inner, F.lit(False)).alias(name))
 
 
-def coordinate_at(points: DataFrame, islands: DataFrame, keys: Keys, amount: str = "amount", name: str = "coordinate") -> DataFrame:
+def coordinate_at(points: DataFrame, islands: DataFrame, keys: Keys, amount: str = "amount", name: str = "coordinate", *, bucket: int | None = None) -> DataFrame:
     """The earliest coordinate with at least ``amount`` of the measure before it.
 
     Null beyond the total; amounts of zero or less give the coordinate 0.
     """
-    rows = with_prefix(islands, keys, "before").select(*keys, "s", "e", "before")
+    rows = with_prefix(islands, keys, "before", bucket=bucket).select(*keys, "s", "e", "before")
     rows = rows.withColumn("from_amount", F.col("before") + 1)
-    found = _as_of(points, rows, keys, amount, "from_amount", ["s", "e", "before"])
+    found = _as_of(points, rows, keys, amount, "from_amount", ["s", "e", "before"], bucket)
     at = F.col("__s") + F.col(amount) - F.col("__before")
     value = F.when(F.col(amount) <= 0, F.lit(0).cast("long")).when(at <= F.col("__e"), at)
     return found.select(*points.columns, value.alias(name))
 
 
-def latest_coordinate_at(points: DataFrame, islands: DataFrame, keys: Keys, end, amount: str = "amount", name: str = "coordinate") -> DataFrame:
+def latest_coordinate_at(points: DataFrame, islands: DataFrame, keys: Keys, end, amount: str = "amount", name: str = "coordinate", *, bucket: int | None = None) -> DataFrame:
     """The latest coordinate up to ``end`` with at most ``amount`` of the measure before it."""
     end = F.lit(end) if isinstance(end, int) else end
-    rows = with_prefix(islands, keys, "before").select(*keys, "s", "e", "before")
-    found = _as_of(points, rows, keys, amount, "before", ["s", "e", "before"])
+    rows = with_prefix(islands, keys, "before", bucket=bucket).select(*keys, "s", "e", "before")
+    found = _as_of(points, rows, keys, amount, "before", ["s", "e", "before"], bucket)
     at = F.col("__s") + F.col(amount) - F.col("__before")
     value = F.when(F.col(amount) < 0, F.lit(None).cast("long")).when(at < F.col("__e"), at).otherwise(end)
     return found.select(*points.columns, value.alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,22 @@ def elapsed_in_order(df: DataFrame, keys: Sequence[str], index: str, elapsed: st
     return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["t"]).alias("elapsed"))
 
 
-def batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 4, name: str = "batch") -> DataFrame:
-    """Batch numbers from 1, ``size`` rows each, in order."""
-    from pyspark.sql import Window
+def batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 4, name: str = "batch", *, bucket: int | None = None) -> DataFrame:
+    """Batch numbers from 1, ``size`` rows each, in order.
 
-    return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size) + 1)
+    With ``bucket``, rows are numbered within buckets of the first (numeric)
+    order column and only one count per bucket is ordered per key, so a key of
+    any size is dealt over many tasks; keys must then not be null.
+    """
+    number = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    if bucket is None:
+        return df.withColumn(name, F.floor((number(keys) - 1) / size) + 1)
+    cell = [*keys, "__b"]
+    cut = df.withColumn("__b", F.floor(F.col(order[0]) / bucket))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).withColumn("__earlier", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    numbered = cut.withColumn("__nth", number(cell)).join(cells, cell)
+    return numbered.select(*df.columns, (F.floor((F.col("__nth") + F.col("__earlier") - 1) / size) + 1).alias(name))
 
 
 def status_rollup(checks: DataFrame, keys: Sequence[str]) -> DataFrame:

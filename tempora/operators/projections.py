@@ -54,3 +54,10 @@ def metadata_prompt(template: Column, transcript: Column, fields: dict[str, Colu
     for name, value in fields.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     return F.concat_ws("\n\n", out, transcript)
+
+
+def bounded_slice(array: Column | str, start: Column, end: Column) -> Column:
+    """Elements start to end (exclusive, from 0), held to the array's bounds; empty where nothing lies between."""
+    lo = F.least(F.greatest(start.cast("int"), F.lit(0)), F.size(col(array)))
+    hi = F.least(F.greatest(end.cast("int"), lo), F.size(col(array)))
+    return F.slice(col(array), lo + 1, hi - lo)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import canonical, text, timecode, urls
 from tempora.operators import contracts, diff, incremental, intervals, layouts, metrics, planner, projections, ranking, segments
-from tempora.plans import oracles
+from tempora.plans import oracles, records
 from tempora.sources import srt
 from tempora.sources.tables import DAY_US, MINUTE_US, event_spans, table
 
@@ -45,21 +45,21 @@ def interval_intersect_pairs(spark, sf_dir):
 
 
 def speech_at_coordinate(spark, sf_dir):
-    return intervals.measure_before(_starts(spark, sf_dir, "error"), _islands(spark, sf_dir), USER, "x", "covered")
+    return intervals.measure_before(_starts(spark, sf_dir, "error"), _islands(spark, sf_dir), USER, "x", "covered", bucket=DAY_US)
 
 
 def coordinate_at_measure(spark, sf_dir):
     points = event_spans(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", (F.col("event_id") * MINUTE_US).alias("amount"))
-    found = intervals.coordinate_at(points, _islands(spark, sf_dir), USER)
+    found = intervals.coordinate_at(points, _islands(spark, sf_dir), USER, bucket=DAY_US)
     return found.withColumn("coordinate", F.coalesce("coordinate", F.lit(-1).cast("long")))
 
 
 def hard_boundary_flag(spark, sf_dir):
-    return intervals.is_inside(_starts(spark, sf_dir, "purchase"), _islands(spark, sf_dir), USER, "x", "hard")
+    return intervals.is_inside(_starts(spark, sf_dir, "purchase"), _islands(spark, sf_dir), USER, "x", "hard", bucket=DAY_US)
 
 
 def first_n_seconds(spark, sf_dir):
-    return intervals.first_length(_islands(spark, sf_dir), USER, 600 * MINUTE_US)
+    return intervals.first_length(_islands(spark, sf_dir), USER, 600 * MINUTE_US, bucket=DAY_US)
 
 
 def gap_sessions(spark, sf_dir):
@@ -264,7 +264,7 @@ def skyline_prune(spark, sf_dir):
 
 
 def batch_assignment(spark, sf_dir):
-    return metrics.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    return metrics.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], bucket=10_000)
 
 
 def status_rollup(spark, sf_dir):
@@ -314,8 +314,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return oracles.ORACLES | records.ORACLES

@@ -25,16 +25,20 @@ def _collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
 
 
+def _clean(x: str) -> str:
+    controls = f"regexp_replace({x}, '[\\x00-\\x1f\\x7f-\\x{{9f}}]+', ' ', 'g')"
+    return _collapse(controls)
+
+
 def _safe(x: str) -> str:
-    clean = f"regexp_replace({x}, '[\\x00-\\x1f\\x7f-\\x{{9f}}]+', ' ', 'g')"
-    return f"left({_collapse(clean)}, 1024)"
+    return f"left({_clean(x)}, 1024)"
 
 
 _CUT = "[^，,；;。.!！？?]*[，,；;。.!！？?]+|[^，,；;。.!！？?]+$"
 
 _PARAGRAPHS = f"""RECURSIVE turns AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn * 10.0::DOUBLE AS s, turn * 10.0::DOUBLE + 4 + turn % 4 AS e, trim(t) AS text
-  FROM (SELECT conv_id, turn, left({_safe("text")}, 24) AS t FROM conversations) WHERE t <> ''),
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn * 10.0::DOUBLE AS s, turn * 10.0::DOUBLE + 4 + turn % 4 AS e, t AS text
+  FROM (SELECT conv_id, turn, {_safe("text")} AS t FROM conversations) WHERE t <> ''),
 fold AS (
   SELECT conv_id, i, 0 AS id, s AS ps, e AS pe, text AS pt FROM turns WHERE i = 1
   UNION ALL
@@ -186,7 +190,7 @@ m AS (SELECT *, lag(after) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_
 SELECT before, after, coalesce((before IS NULL AND after = 'preparing') OR (before = 'preparing' AND after = 'prompt_ready') OR (before = 'prompt_ready' AND after IN ('complete', 'prompt_ready'))
   OR (before = 'complete' AND after IN ('complete', 'prompt_ready')), false) AS legal, count(*) AS n FROM m GROUP BY ALL""",
     "json_props_strict": "SELECT event_id, replace(props, '\": ', '\":') AS object FROM events",
-    "concatenated_text": f"SELECT conv_id, string_agg({_safe('text')}, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "concatenated_text": f"SELECT conv_id, string_agg({_clean('text')}, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "compact_metadata": "SELECT page_id, 'id,url' AS keys, url FROM pages",
     "boundary_neighbours": """WITH r AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 100 AS x FROM orders)
 SELECT DISTINCT o_orderkey, x FROM (SELECT o_orderkey, unnest([x - 1, x, x + 1]) AS x FROM r) WHERE x BETWEEN 0 AND 98""",

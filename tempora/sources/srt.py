@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempora.functions.text import collapse_whitespace
 from tempora.functions.timecode import SRT_TIME, parse_srt_millis, seconds_to_millis, srt_time
 
+# Fixed value.
 EMPTY = "Subtitle SRT is empty or invalid."
 
 

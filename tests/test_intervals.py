@@ -106,3 +106,32 @@ def test_structure_violations(spark):
     df = spark.createDataFrame(rows, "k string, pos int, s long, e long")
     got = {r.k: r.v for r in I.structure_violation(df, KEYS, 4).groupBy("k").agg(F.max("violation").alias("v")).collect()}
     assert got == {"adjacent": None, "negative": "negative", "empty": "empty", "past_end": "past_end", "overlap": "overlap", "missing": "missing"}
+
+
+def test_buckets_change_nothing(spark):
+    """Prefixes, as-of lookups and batches by buckets of the axis equal those by one window for each key."""
+    import random
+
+    from tempora.operators import metrics
+
+    rng = random.Random(7)
+    spans, points = [], []
+    for key in ("a", "b", "c"):
+        at = rng.randint(-30, 0)
+        for _ in range(40):
+            at += rng.randint(1, 25)
+            end = at + rng.randint(1, 30)
+            spans.append((key, at, end))
+            at = end
+        points += [(key, i, rng.randint(-40, 1800)) for i in range(60)]
+    points += [("none", 0, 5)]
+    islands = spark.createDataFrame(spans, "k string, s long, e long")
+    asked = spark.createDataFrame(points, "k string, i long, x long")
+    same = lambda f: sorted(map(tuple, f(None).collect()), key=repr) == sorted(map(tuple, f(10).collect()), key=repr) == sorted(map(tuple, f(10_000).collect()), key=repr)
+    assert same(lambda b: I.with_prefix(islands, ["k"], bucket=b))
+    assert same(lambda b: I.first_length(islands, ["k"], 100, bucket=b))
+    assert same(lambda b: I.measure_before(asked, islands, ["k"], bucket=b))
+    assert same(lambda b: I.is_inside(asked, islands, ["k"], bucket=b))
+    assert same(lambda b: I.coordinate_at(asked, islands, ["k"], "x", bucket=b))
+    assert same(lambda b: I.latest_coordinate_at(asked, islands, ["k"], 5000, "x", bucket=b))
+    assert same(lambda b: metrics.batches(asked, ["k"], ["x", "i"], bucket=b))

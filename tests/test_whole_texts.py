@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
 
 
 def brute_paragraphs():
-    """(conv_id, id, start, end, text), as the reference's loop gives them."""
+    """(conv_id, id, start, end, text), by a plain loop."""
     out = []
     for conv in sorted({c for c, _, _ in TURNS}):
         merged, text, begin, end = [], "", 0.0, 0.0
