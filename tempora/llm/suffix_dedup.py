@@ -57,7 +57,7 @@ LENGTH = 400
 #: Bytes of an anchor for strings of 400 bytes; in proportion for others.
 ANCHOR = 240
 #: Words of a passage, and of its anchor; in proportion for others.
-PASSAGE, PASSAGE_ANCHOR = 51, 8
+PASSAGE, PASSAGE_ANCHOR = 51, 12
 #: Distinct contexts of one anchor beyond which it is split, and into how many slots at a time.
 GROUP_ROWS = 256
 SLOTS = 4
@@ -129,13 +129,18 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def words_in(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and hash of each word of a text."""
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of a text."""
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+def words_in(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of each word of a text of any length."""
+    begin, end = word_places(raw)
     hashes = np.empty(len(begin), np.uint64)
-    second = _hash_pair()[1]
+    first = _hash_pair()[0]
     i = 0
     while i < len(begin):
         j = int(np.searchsorted(end, begin[i] + _PART, side="right"))
@@ -143,23 +148,36 @@ def words_in(raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.n
             hashes[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]])
             j = i + 1
         else:
-            sums = second.sums(second.table[raw[begin[i] : end[j - 1]]])
-            hashes[i:j] = second.of(sums, begin[i:j] - begin[i], end[i:j] - begin[i])
+            sums = first.sums(first.table[raw[begin[i] : end[j - 1]]])
+            hashes[i:j] = first.of(sums, begin[i:j] - begin[i], end[i:j] - begin[i])
         i = j
     return begin, end, hashes
 
 
-def _anchored(values: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one anchor: first start, last start, the anchor's hash, the anchor's place in the context."""
+def _anchored(sums: np.ndarray, length: int, anchor: int, texts: Sequence[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one anchor inside the texts [begin, end): first start, last start, the anchor's hash, the anchor's place in the context."""
+    if len(sums) <= length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = _hash_pair()[0].rolling(sums, anchor)
+    keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    place = (_sliding_min(keyed, length - anchor + 1) & _POSITION).astype(np.int64)
+    inside = np.zeros(len(place), bool)
+    for begin, end in texts:
+        inside[begin : max(begin, end - length + 1)] = True
+    change = place[1:] != place[:-1]
+    begin = np.flatnonzero(inside & np.concatenate([[True], change | ~inside[:-1]]))
+    last = np.flatnonzero(inside & np.concatenate([change | ~inside[1:], [True]]))
+    return begin, last, hashes[place[begin]], place[begin] - begin
+
+
+def _long_anchored(values: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """``_anchored`` of one text of any length, part by part."""
     first = _hash_pair()[0]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    out = [_anchored(np.zeros(1, np.uint64), length, anchor, [])]
     for at in range(0, len(values) - length + 1, _PART):
-        hashes = first.rolling(first.sums(values[at : at + _PART + length - 1]), anchor)
-        keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
-        place = (_sliding_min(keyed, length - anchor + 1) & _POSITION).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.concatenate([begin[1:], [len(place)]]) - 1
-        out.append((begin + at, last + at, hashes[place[begin]], place[begin] - begin))
+        part = values[at : at + _PART + length - 1]
+        begin, last, *rest = _anchored(first.sums(part), length, anchor, [(0, len(part))])
+        out.append((begin + at, last + at, *rest))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -174,28 +192,67 @@ _UNEVEN = re.compile(rb"[\x09-\x0D]|\x20\x20")
 _PER_CONTEXT = ("first", "last", "anchor", "context", "place", "tail")
 
 
-def contexts(data: bytes, length: int, anchor: int, passage: int, passage_anchor: int) -> tuple[np.ndarray, ...]:
-    """Contexts of both kinds: first byte, last byte less ``length``, anchor (its lowest bit is the kind), digest of its bytes or words, place of the anchor and last start (units of the context)."""
+def _long_contexts(data: bytes, length: int, anchor: int, passage: int, passage_anchor: int) -> list[tuple[np.ndarray, ...]]:
     raw = np.frombuffer(data, np.uint8)
-    found = []
-    if len(raw) >= length:
-        begin, last, anchors, place = _anchored(_hash_pair()[0].table[raw], length, anchor)
-        found.append((begin, last, anchors & ~np.uint64(1), _digests(data, begin, last + length), place, last - begin))
+    begin, last, anchors, place = _long_anchored(_hash_pair()[0].table[raw], length, anchor)
+    found = [(begin, last, anchors & ~np.uint64(1), _digests(data, begin, last + length), place, last - begin)]
     begin, end, hashes = words_in(raw, data)
-    if len(hashes) >= passage:
-        a, b, anchors, place = _anchored(hashes, passage, passage_anchor)
-        at, to = begin[a], end[b + passage - 1]
-        if _UNEVEN.search(data):  # words are compared with one blank between them
-            even = b" ".join(data.split())
-            sizes = end - begin + 1
-            ends = np.cumsum(sizes) - 1
-            digests = _digests(even, ends[a] - sizes[a] + 1, ends[b + passage - 1])
+    found.append(_of_words(data, begin, end, *_long_anchored(hashes, passage, passage_anchor), length, passage))
+    return found
+
+
+def _of_words(data: bytes, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, anchors: np.ndarray, place: np.ndarray, length: int, passage: int) -> tuple[np.ndarray, ...]:
+    at, to = begin[a], end[b + passage - 1]
+    if _UNEVEN.search(data):  # words are compared with one blank between them
+        sizes = end - begin + 1
+        ends = np.cumsum(sizes) - 1
+        digests = _digests(b" ".join(data.split()), ends[a] - sizes[a] + 1, ends[b + passage - 1])
+    else:
+        digests = _digests(data, at, to)
+    return at, to - length, anchors | np.uint64(1), digests, place, b - a
+
+
+def contexts(texts: Sequence[bytes], length: int, anchor: int, passage: int, passage_anchor: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Contexts of both kinds of several texts: the number of each text's, and ``_PER_CONTEXT`` for all in order of the texts.
+
+    first byte, last byte less ``length``, anchor (its lowest bit is the kind),
+    digest of its bytes or words, place of the anchor and last start (units of
+    the context).  Short texts are hashed together.
+    """
+    first = _hash_pair()[0]
+    owners, found = [], []
+    at = 0
+    while at < len(texts):
+        upto, size = at + 1, len(texts[at]) + 1
+        while upto < len(texts) and size + len(texts[upto]) < _PART:
+            size += len(texts[upto]) + 1
+            upto += 1
+        if size > _PART:
+            for part in _long_contexts(texts[at], length, anchor, passage, passage_anchor):
+                owners.append(np.full(len(part[0]), at))
+                found.append(part)
         else:
-            digests = _digests(data, at, to)
-        found.append((at, to - length, anchors | np.uint64(1), digests, place, b - a))
-    if not found:
-        return (np.zeros(0, np.int64),) * len(_PER_CONTEXT)
-    return tuple(np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            data = b" ".join(texts[at:upto])
+            raw = np.frombuffer(data, np.uint8)
+            ends = np.cumsum([len(t) + 1 for t in texts[at:upto]]) - 1
+            begins = ends - [len(t) for t in texts[at:upto]]
+            sums = first.sums(first.table[raw])
+            begin, last, anchors, place = _anchored(sums, length, anchor, list(zip(begins.tolist(), ends.tolist(), strict=True)))
+            parts = [(begin, last, anchors & ~np.uint64(1), _digests(data, begin, last + length), place, last - begin)]
+            begin, end = word_places(raw)
+            words = first.sums(first.of(sums, begin, end))
+            cuts = np.searchsorted(begin, begins), np.searchsorted(begin, ends)
+            spots = _anchored(words, passage, passage_anchor, list(zip(*(c.tolist() for c in cuts), strict=True)))
+            parts.append(_of_words(data, begin, end, *spots, length, passage))
+            for part in parts:
+                owner = np.searchsorted(begins, part[0], side="right") - 1
+                owners.append(owner + at)
+                found.append((part[0] - begins[owner], part[1] - begins[owner], *part[2:]))
+        at = upto
+    owner = np.concatenate([np.zeros(0, np.int64), *owners])
+    order = np.argsort(owner, kind="stable")
+    columns = [np.concatenate([np.zeros(0, np.int64), *(f[k].view(np.int64) for f in found)])[order] for k in range(len(_PER_CONTEXT))]
+    return np.bincount(owner, minlength=len(texts)), columns
 
 
 class Sequential:
@@ -504,8 +561,9 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, passage: int = PASSAGE
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [contexts(d, length, spans.shared[BYTES], passage, spans.shared[WORDS]) for d in part.column(2).to_pylist()]
-                lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(len(_PER_CONTEXT))]
+                counts, columns = contexts(part.column(2).to_pylist(), length, spans.shared[BYTES], passage, spans.shared[WORDS])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["k1", "k2", *_PER_CONTEXT])
 
     lists = ", ".join(f"{name} array<bigint>" for name in _PER_CONTEXT)

@@ -130,16 +130,37 @@ def test_query_on_data(spark):
     assert names == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"] and sorted(rows) == sorted(want)
 
 
-def test_long_texts_are_cut_into_parts_without_loss(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_PART", 100)
+@pytest.mark.parametrize("part", [100, 700, 1 << 17])
+def test_texts_of_any_length_have_the_same_contexts(monkeypatch, part):
+    """Together, alone, or part by part: every string is in one context, and equal strings have equal anchors."""
+    monkeypatch.setattr(suffix_dedup, "_PART", part)
+    monkeypatch.setattr(suffix_dedup, "_hashes", [])
     rng = random.Random(3)
-    text = "".join(rng.choice("ab") for _ in range(700)).encode()
-    first, last, *_ = suffix_dedup.contexts(text, 40, 24, 51, 20)
-    assert sum(last - first + 1) == len(text) - 39
-    text = b" ".join([b"w%d" % rng.randint(0, 9) for _ in range(400)] + [b"long" * 60])
-    begin, end, hashes = suffix_dedup.words_in(np.frombuffer(text, np.uint8), text)
-    assert [text[a:b] for a, b in zip(begin, end, strict=True)] == text.split()
-    assert len(set(hashes.tolist())) == len(set(text.split()))
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.choice([0, 3, 39, 40, 300, 900]))).encode() for _ in range(30)]
+    texts += [texts[4], b" ".join([b"w%d" % rng.randint(0, 9) for _ in range(400)] + [b"long" * 60]), b"w1\n\nw2\tw3 " * 40, b"w1 w2 w3 " * 40, b""]
+    counts, columns = suffix_dedup.contexts(texts, 40, 24, 9, 3)
+    assert len(counts) == len(texts) and sum(counts) == len(columns[0])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    starts, anchors = [Counter() for _ in texts], {}
+    for t, first, last, anchor, _, place, tail in zip(owner, *columns, strict=True):
+        context = texts[t][first : last + 40]
+        if anchor & 1:
+            units, length, size = context.split(), 9, 3
+            starts[t]["words"] += tail + 1
+        else:
+            units, length, size = context, 40, 24
+            starts[t].update(range(first, last + 1))
+        assert len(units) == tail + length and 0 <= place <= tail + length - size
+        for i in range(tail + 1):
+            key = (anchor & 1, bytes(units[i : i + length]) if not anchor & 1 else tuple(units[i : i + length]))
+            assert anchors.setdefault(key, (anchor, place - i)) == (anchor, place - i)
+    for t, text in enumerate(texts):
+        want = Counter(range(len(text) - 39)) if len(text) >= 40 else Counter()
+        words = max(0, len(text.split()) - 8)
+        if part > 100 or len(text) < 100:
+            assert starts[t] == want + Counter({"words": words} if words else {})
+    begin, end, hashes = suffix_dedup.words_in(np.frombuffer(texts[31], np.uint8), texts[31])
+    assert [texts[31][a:b] for a, b in zip(begin, end, strict=True)] == texts[31].split() and len(set(hashes.tolist())) == len(set(texts[31].split()))
 
 
 def test_suffix_order_and_common_prefixes():
