@@ -24,13 +24,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.operators.intervals import normalize, union
 
 _FAR = np.int64(1) << np.int64(60)
+#: Chunks times boundaries times width of the bounds up to which plain loops beat arrays.
+SMALL = 20_000
 
 
 class InfeasibleError(ValueError):
@@ -110,6 +113,8 @@ def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: S
     if before[-1] == 0:
         return [0, *(max(i * shortest, n - (k - i) * longest) for i in range(1, k)), n]
     span = [(max(i * shortest, n - (k - i) * longest), min(i * longest, n - (k - i) * shortest)) for i in range(k + 1)]
+    if k * n * (longest - shortest + 1) <= SMALL:
+        return _small_boundaries(before.tolist(), hard.astype(int).tolist(), span, shortest, longest)
 
     def fewest_cuts(cap: int) -> int:
         """Fewest hard cuts of any split whose loads stay within ``cap``."""
@@ -174,6 +179,52 @@ def optimal_boundaries(n: int, k: int, shortest: int, longest: int, intervals: S
     return out
 
 
+def _small_boundaries(before: list[int], hard: list[int], span: list[tuple[int, int]], shortest: int, longest: int) -> list[int]:
+    """The same choice for a short recording, boundary by boundary."""
+    k, far = len(span) - 1, int(_FAR)
+    cuts_at = [hard if i < k else [0] * len(hard) for i in range(k + 1)]  # the end of the recording is no cut
+
+    def ends(i: int, s: int) -> range:
+        return range(max(s + shortest, span[i + 1][0]), min(s + longest, span[i + 1][1]) + 1)
+
+    def fewest_cuts(cap: int) -> int:
+        after = {span[k][0]: 0}
+        for i in range(k - 1, -1, -1):
+            now = {}
+            for s in range(span[i][0], span[i][1] + 1):
+                now[s] = min((after[e] + cuts_at[i + 1][e] for e in ends(i, s) if before[e] - before[s] <= cap), default=far)
+            after = now
+        return after[0]
+
+    least = fewest_cuts(before[-1])
+    lo, hi = -(-before[-1] // k) - 1, before[-1]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if fewest_cuts(mid) <= least else (mid, hi)
+    # value[s, h]: smallest sum of squares from boundary s of a stage with h hard cuts left, and the earliest next boundary.
+    value = {(span[k][0], 0): (0, 0)}
+    steps = []
+    for i in range(k - 1, -1, -1):
+        now = {}
+        for s in range(span[i][0], span[i][1] + 1):
+            for h in range(least + 1):
+                best = (far, 0)
+                for e in ends(i, s):
+                    load = before[e] - before[s]
+                    rest = value.get((e, h - cuts_at[i + 1][e]))
+                    if load <= hi and rest is not None and rest[0] + load * load < best[0]:
+                        best = (rest[0] + load * load, e)
+                if best[0] < far:
+                    now[s, h] = best
+        value = now
+        steps.append(now)
+    out, cuts = [0], least
+    for i, step in enumerate(reversed(steps)):
+        out.append(step[out[-1], cuts][1])
+        cuts -= cuts_at[i + 1][out[-1]]
+    return out
+
+
 def layout_of(n: int, boundaries: Sequence[int], intervals: Sequence[tuple[int, int]] | Timeline) -> list[tuple[int, int, int, str, int]]:
     """(idx, s, e, boundary kind, load) of each chunk."""
     timeline = intervals if isinstance(intervals, Timeline) else Timeline(n, intervals)
@@ -231,7 +282,10 @@ def plan_chunks(n: int, intervals: Sequence[tuple[int, int]], *, shortest: int,
     return min(ranked, key=lambda r: r[0])[1]
 
 
-LAYOUT = "idx int, s bigint, e bigint, boundary string, speech bigint, error string"
+LAYOUT = [
+    T.StructField("idx", T.IntegerType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()),
+    T.StructField("boundary", T.StringType()), T.StructField("speech", T.LongType()), T.StructField("error", T.StringType()),
+]
 
 
 def plan_recordings(intervals: DataFrame, keys: Sequence[str], length: str, *, shortest: int, longest: int, group: int = 4, strategy: str = "full", count: int | None = None) -> DataFrame:
@@ -248,23 +302,26 @@ def plan_recordings(intervals: DataFrame, keys: Sequence[str], length: str, *, s
     rows = intervals.select(*whole, clamped("s").alias("s"), clamped("e").alias("e"))
     merged = union(normalize(rows), whole, bucket=longest, gap=-1)
     reversed_ = F.coalesce(F.bool_or(F.col("e") < F.col("s")), F.lit(False)).alias("reversed")
-    intervals = rows.groupBy(*whole).agg(reversed_).join(merged, whole, "left")
-    kinds = ", ".join(f"`{k}` {intervals.schema[k].dataType.simpleString()}" for k in keys)
+    spans = merged.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    recordings = rows.groupBy(*whole).agg(reversed_).join(spans, whole, "left").select(*keys, F.col(length).cast("long").alias("n"), "reversed", "spans")
+    schema = T.StructType([intervals.schema[k] for k in keys] + LAYOUT)
+    n_keys = len(keys)
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf[length].iloc[0])
-        rows = [(int(s), int(e)) for s, e in zip(pdf["s"], pdf["e"], strict=True) if not (pd.isna(s) or pd.isna(e))]
+    def plan(n: int, is_reversed: bool, found: list) -> list[tuple]:
         try:
-            if pdf["reversed"].iloc[0]:
+            if is_reversed:
                 raise ValueError("an interval ends before it starts")
-            chunks = [(*c, None) for c in plan_chunks(n, rows, shortest=shortest, longest=longest, group=group, strategy=strategy, count=count)]
+            chunks = plan_chunks(n, [(r["s"], r["e"]) for r in found or []], shortest=shortest, longest=longest, group=group, strategy=strategy, count=count)
+            return [(*c, None) for c in chunks]
         except ValueError as e:
-            chunks = [(None, None, None, None, None, str(e))]
-        out = pd.DataFrame(chunks, columns=["idx", "s", "e", "boundary", "speech", "error"])
-        for c, kind in (("idx", "Int32"), ("s", "Int64"), ("e", "Int64"), ("speech", "Int64")):
-            out[c] = out[c].astype(kind)
-        for k in reversed(list(keys)):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+            return [(None, None, None, None, None, str(e))]
+
+    def run(batches):
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        for batch in batches:
+            planned = [plan(*row) for row in zip(*(c.to_pylist() for c in batch.columns[n_keys:]), strict=True)]
+            owner = pa.array([i for i, chunks in enumerate(planned) for _ in chunks], pa.int64())
+            columns = list(zip(*(c for chunks in planned for c in chunks), strict=True)) or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([c.take(owner) for c in batch.columns[:n_keys]] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.fieldNames())
 
-    return intervals.groupBy(*keys).applyInPandas(plan, f"{kinds}, {LAYOUT}")
+    return recordings.mapInArrow(run, schema)

@@ -39,7 +39,9 @@ def test_reversed_intervals_are_refused(spark):
     assert {r.r: r.error is None for r in got} == {"a": False, "b": True}
 
 
-def test_equals_all_combinations():
+@pytest.mark.parametrize("small", [0, P.SMALL])
+def test_equals_all_combinations(monkeypatch, small):
+    monkeypatch.setattr(P, "SMALL", small)
     rng = random.Random(9)
     for _ in range(300):
         n, k, a = rng.randint(2, 14), rng.randint(1, 4), rng.randint(1, 3)
