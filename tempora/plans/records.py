@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from tempora.functions import text, timecode, urls
 from tempora.operators import contracts, incremental, intervals, jobs, metrics, planner, projections, ranking, segments
-from tempora.sources import files, srt
+from tempora.sources import files, results, srt
 from tempora.sources.tables import event_spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-
 def _spark(sql: str) -> str:
     """``SHA(x)`` is the hexadecimal SHA-256 of a text, ``TEXT(x)`` a value as text."""
     out = sql.replace("TEXT(", "string(")
@@ -423,6 +422,47 @@ def srt_probes(spark, sf_dir):
     return srt.probe(_dirty(spark, sf_dir), ["conv_id"])
 
 
+# --- stored payloads
+
+_ISLANDS = f"""islands AS (
+  SELECT user_id, min(s) AS s, max(e) AS e FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({_SPANS}) WHERE e > s))
+  GROUP BY user_id, island)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.union(intervals.normalize(event_spans(spark, sf_dir)), ["user_id"], bucket=86_400_000_000)
+
+
+@query(f"""WITH {_ISLANDS} SELECT user_id, CAST(to_json({{'schema_version': 1, 'source': {{'sample_count': 10000, 'sample_rate': 16000}}, 'parameters': {{'threshold': 5, 'limit': NULL::INT}},
+  'speech_intervals': list({{'start_sample': s, 'end_sample': e}} ORDER BY s)}}) AS VARCHAR) AS payload FROM islands GROUP BY user_id""")
+def interval_payloads(spark, sf_dir):
+    source = F.struct(F.lit(10_000).alias("sample_count"), F.lit(16_000).alias("sample_rate"))
+    parameters = F.struct(F.lit(5).alias("threshold"), F.lit(None).cast("int").alias("limit"))
+    return results.interval_payloads(_merged(spark, sf_dir), ["user_id"], source, parameters)
+
+
+_CHUNK_TEXT = "l_returnflag || l_linestatus || '\"' || chr(10)"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(to_json({{'schema_version': 1, 'plan': {{'key': l_orderkey, 'longest': 180}}, 'text': {_CHUNK_TEXT}, 'language': CASE WHEN l_linenumber = 1 THEN NULL ELSE 'en' END, 'items': l_linenumber}}) AS VARCHAR) AS payload
+FROM lineitem""")
+def chunk_payloads(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_CHUNK_TEXT).alias("text"), F.expr("CASE WHEN l_linenumber = 1 THEN NULL ELSE 'en' END").alias("language"), F.col("l_linenumber").alias("items"))
+    plan = F.struct(F.col("l_orderkey").alias("key"), F.lit(180).alias("longest"))
+    return results.chunk_payloads(rows, ["l_orderkey", "l_linenumber"], plan, ["text", "language", "items"])
+
+
+@query("""SELECT conv_id, CAST(to_json({'schema_version': 1, 'plan': {'key': conv_id}, 'text': string_agg(role, '' ORDER BY turn), 'words': flatten(list([{'text': role, 'start': turn}, {'text': 'x', 'start': -turn}] ORDER BY turn))}) AS VARCHAR) AS payload
+FROM conversations GROUP BY conv_id""")
+def merged_payloads(spark, sf_dir):
+    word = lambda x, at: F.struct(x.alias("text"), at.alias("start"))
+    words = F.array(word(F.col("role"), F.col("turn")), word(F.lit("x"), -F.col("turn")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("words"))
+    return results.merged_payloads(rows, ["conv_id"], F.struct(F.col("conv_id").alias("key")), "turn", "role", "words")
+
+
 # --- segments and words
 
 
@@ -553,18 +593,9 @@ def closed_ranges(spark, sf_dir):
     return intervals.union(table(spark, sf_dir, "lineitem").select("l_orderkey", s.alias("s"), (s + F.col("l_linenumber") % 4).alias("e")), ["l_orderkey"], gap=1)
 
 
-_ISLANDS = f"""islands AS (
-  SELECT user_id, min(s) AS s, max(e) AS e FROM (
-    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
-      SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({_SPANS}) WHERE e > s))
-  GROUP BY user_id, island)"""
 _FROM, _TO = 1_700_000_000_000_000, 1_710_000_000_000_000
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.union(intervals.normalize(event_spans(spark, sf_dir)), ["user_id"], bucket=86_400_000_000)
-
-
 @query(f"""WITH {_ISLANDS}, g AS (SELECT user_id, coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY s), {_FROM}) AS s, s AS e FROM islands
   UNION ALL SELECT user_id, max(e), {_TO} FROM islands GROUP BY user_id) SELECT user_id, s, e FROM g WHERE e > s""")
 def complement_with_ends(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.canonical import canonical_sha256
@@ -38,3 +38,31 @@ def load(manifests: DataFrame, transcripts: DataFrame, raw: DataFrame, parameter
     missing = F.when(F.col("segments").isNull(), "transcript_missing").when(F.col("items").isNull(), "raw_timestamps_missing")
     first = F.coalesce("violation", missing, "__transcript", "__raw", "__segments", "__items")
     return out.select(*IDENTITY, "segments", "items", first.alias("violation"))
+
+
+SCHEMA_VERSION = 1
+
+
+def _json(**fields: Column) -> Column:
+    """One JSON object with the schema version first; null fields are written."""
+    return F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def interval_payloads(intervals: DataFrame, keys: list[str], source: Column, parameters: Column, name: str = "payload") -> DataFrame:
+    """What is stored of a recording's intervals (s, e): source and parameters as structs, intervals in order."""
+    spans = F.array_sort(F.collect_list(F.struct(F.col("s").alias("start_sample"), F.col("e").alias("end_sample"))))
+    grouped = intervals.groupBy(*keys).agg(spans.alias("__spans"), F.any_value(source).alias("__source"), F.any_value(parameters).alias("__parameters"))
+    return grouped.select(*keys, _json(source=F.col("__source"), parameters=F.col("__parameters"), speech_intervals=F.col("__spans")).alias(name))
+
+
+def chunk_payloads(chunks: DataFrame, keys: list[str], plan: Column, fields: list[str], name: str = "payload") -> DataFrame:
+    """What is stored of each chunk: the whole plan, which tells whether it may be reused, then the transcript's fields."""
+    return chunks.select(*keys, _json(plan=plan, **{f: F.col(f) for f in fields}).alias(name))
+
+
+def merged_payloads(chunks: DataFrame, keys: list[str], plan: Column, order: str, text: str, words: str, name: str = "payload") -> DataFrame:
+    """What is stored of a merged result: the plan, the chunks' texts joined in order, their words in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(words).alias("w"))))
+    grouped = chunks.groupBy(*keys).agg(rows.alias("__rows"), F.any_value(plan).alias("__plan"))
+    joined = F.array_join(F.transform("__rows", lambda r: r["t"]), "")
+    return grouped.select(*keys, _json(plan=F.col("__plan"), text=joined, words=F.flatten(F.transform("__rows", lambda r: r["w"]))).alias(name))
