@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import text, timecode, urls
 from tempora.operators import contracts, incremental, intervals, jobs, metrics, planner, projections, ranking, segments
+from tempora.runtime import scratch
 from tempora.sources import files, results, srt
 from tempora.sources.tables import event_spans, table
 
@@ -463,6 +464,30 @@ def merged_payloads(spark, sf_dir):
     return results.merged_payloads(rows, ["conv_id"], F.struct(F.col("conv_id").alias("key")), "turn", "role", "words")
 
 
+@query("""SELECT 'languages' AS artifact, count(DISTINCT lang) AS rows, true AS valid FROM documents UNION ALL SELECT 'labels', count(*), true FROM labels
+UNION ALL SELECT 'rebuilt', count(DISTINCT source), true FROM documents""")
+def published_artifacts(spark, sf_dir):
+    """Three artifacts and their manifest; one is damaged and rebuilt from its recomputation."""
+    folder = scratch(spark, "published")
+    docs = table(spark, sf_dir, "documents")
+    by_source = docs.groupBy("source").agg(F.min("doc_id").alias("first_id"))
+    incremental.publish({"languages": docs.select("lang").distinct(), "labels": table(spark, sf_dir, "labels"), "rebuilt": by_source}, folder)
+    by_source.limit(1).write.mode("overwrite").parquet(f"{folder}/rebuilt")
+    incremental.recover(spark, folder, "rebuilt", lambda: by_source)
+    return incremental.verify(spark, folder).select("artifact", "rows", "valid")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'first ' ELSE 'second ' END || source AS payload FROM documents LEFT JOIN labels USING (doc_id)")
+def resumed_run(spark, sf_dir):
+    """A run over the labelled documents, then one over all, which computes only what the first left."""
+    store = scratch(spark, "results")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    work = lambda word: lambda rows: rows.select("doc_id", F.concat(F.lit(word), F.col("source")).alias("payload"), F.lit(None).cast("string").alias("error"))
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    incremental.run_missing(labelled, store, ["doc_id"], work("first "))
+    return incremental.run_missing(docs, store, ["doc_id"], work("second "))
+
+
 # --- segments and words
 
 
