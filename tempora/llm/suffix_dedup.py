@@ -9,8 +9,8 @@ Every string has an anchor: the leftmost run of units in it with the smallest
 hash.  Equal strings have equal anchors at equal places, so they meet in the
 group of their anchor, and consecutive strings with the same anchor are kept
 together as one context.  An anchor that occurs once proves that its strings
-occur once.  Contexts are compared by SHA-256: where an anchor always has the
-same context, all its strings repeat.  Of all other anchors the distinct
+occur once.  Contexts are compared by 64 bits of their SHA-256: where an anchor always
+has the same context, all its strings repeat.  Of all other anchors the distinct
 contexts are fetched as text and put in order.
 
 The contexts form collections whose Burrows-Wheeler transform and common
